@@ -4,15 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import cut, table
 from .contamination import held_items
+from .grouping import assign_splits, broken_ties
+from .leakage import leaks
+from .quantiles import PERCENTS, combine, once, percentiles, sketches
 from .splitting import split_items
 from .tokens import encode_column
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of document ids that overlap across TRAIN and evaluation."""
+    return leaks(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations")).select("id_a", "id_b")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pairs per evaluation split and source."""
+    found = leaks(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations"))
+    return found.groupBy("eval_split", "source").agg(F.count("*").alias("n_pairs"), F.sum(F.array_contains("kinds", "near_text").cast("long")).alias("n_near_text"))
+
+
+def _sketched(spark: SparkSession, folder: str) -> DataFrame:
+    by = ["source", "condition"]
+    return combine(cut(sketches(once(table(spark, folder, "style_observations")), by), "sketches"), by)
+
+
+def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per source, condition and feature, with their rank error bound."""
+    return percentiles(_sketched(spark, folder), ["source", "condition"])
+
+
+def p2_from_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, combined from sketches of single days."""
+    by = ["source", "condition"]
+    days = combine(cut(sketches(once(table(spark, folder, "style_observations")), [*by, "day"]), "sketches"), [*by, "day"])
+    return percentiles(combine(cut(days, "days"), by), by)
+
+
+def p2_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """Per group, whether every percentile's true rank is within the stated bound."""
+    keys = ["source", "condition", "feature_id"]
+    answers = cut(p2_percentiles(spark, folder), "answers")
+    stacked = answers.select(*keys, "n", "rank_error", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"p{p:02d}").alias("v")) for p in PERCENTS))).alias("a")).select(*keys, "n", "rank_error", "a.*")
+    values = once(table(spark, folder, "style_observations")).select("source", "condition", F.explode("features").alias("feature_id", "value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    ranks = values.alias("x").join(stacked.alias("y"), same).groupBy(*(F.col(f"y.{k}") for k in keys), "n", "rank_error", "p").agg(
+        F.sum((F.col("value") < F.col("v")).cast("long")).alias("below"), F.sum((F.col("value") <= F.col("v")).cast("long")).alias("upto")
+    )
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") / 100))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - wanted, wanted - F.col("upto"))
+    return ranks.groupBy(*keys, "n").agg(F.min(off <= F.col("rank_error")).alias("within_bound"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Papers longer than the limit of their format."""
     cut = split_items(table(spark, folder, "papers"), table(spark, folder, "size_limits"), with_text=False)
@@ -24,6 +70,23 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_items(table(spark, folder, "papers"), table(spark, folder, "size_limits"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Observation ids in linked sets that hold more than one split."""
+    return broken_ties(table(spark, folder, "style_observations"), table(spark, folder, "measured_documents")).select("id").distinct()
+
+
+def p5_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """A split for every observation id, whole linked sets together."""
+    return assign_splits(*(table(spark, folder, t) for t in ("style_observations", "measured_documents", "split_targets"))).select("id", "split")
+
+
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the assignment reaches."""
+    got = p5_assignment(spark, folder).groupBy("split").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    return got.join(table(spark, folder, "split_targets"), "split").select("split", F.col("share").alias("target"), "n", F.round(F.col("n") / total, 6).alias("share"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents"))
@@ -47,15 +110,30 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
+_ONCE = """WITH once AS (
+  SELECT lower(trim(source)) AS source, condition, features FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at, measured_at) AS rn FROM style_observations) WHERE rn = 1),
+vals AS (SELECT source, condition, e.key AS feature_id, e.value AS v FROM (SELECT source, condition, unnest(map_entries(features)) AS e FROM once)
+         WHERE e.value IS NOT NULL AND isfinite(e.value)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, condition, feature_id ORDER BY v) AS rn,
+                  count(*) OVER (PARTITION BY source, condition, feature_id) AS n FROM vals)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    own = (p4_found, p4_pieces, p6_ids, p7_found, p7_passages, p7_items)
+    own = (p1_found, p1_report, p2_percentiles, p2_from_days, p2_verified, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items)
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB's form of the queries that SQL can express."""
+    percents = ", ".join(f"max(v) FILTER (rn = greatest(1, ({p} * n + 99) // 100)) AS p{p:02d}" for p in PERCENTS)
+    exact = f"{_ONCE} SELECT source, condition, feature_id, n, 0::BIGINT AS rank_error, {percents} FROM ranked GROUP BY source, condition, feature_id, n"
     return {
+        # Groups of up to 2048 values are never collapsed, so at small scale the sketch is exact.
+        "p2_percentiles": exact,
+        "p2_from_days": exact,
+        "p2_verified": f"{_ONCE} SELECT DISTINCT source, condition, feature_id, n, true AS within_bound FROM ranked",
         "p4_found": """
 SELECT DISTINCT p.paper_id FROM papers p JOIN size_limits s ON s.format = coalesce(lower(trim(p.format)), 'latex')
 WHERE length(coalesce(p.text, array_to_string(p.chunks, ''))) > s.max_code_points""",
