@@ -23,7 +23,9 @@ from .normal import letters_digits, run_hashes
 #: N-grams of the evaluation and of the training side in one block: bounds a task's memory to some 200 MB.
 EVALUATION_BLOCK, TRAINING_BLOCK = 6_000_000, 2_000_000
 #: Documents from which the order of n-grams (rare ones first) is estimated, and bits of its counters. The order decides speed, never the result.
-ORDER_SAMPLE, ORDER_BITS = 8192, 20
+ORDER_SAMPLE, ORDER_BITS = 4096, 22
+#: Bits of the sketches that exclude pairs before their n-gram sets are compared.
+SKETCH_BITS = 1024
 
 
 def split_flags(observations: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def split_flags(observations: DataFrame) -> DataFrame:
 
 
 def _order(texts: DataFrame, width: int) -> np.ndarray:
-    """Counters of n-grams over a bounded sample of the texts, by the top bits of the hash."""
+    """Rounded logarithms of the counts of n-grams over a bounded sample of the texts, by the top bits of the hash."""
     n = texts.count()
     every = max(1, math.ceil(n / ORDER_SAMPLE))
     sample = texts.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).select("plain")
@@ -51,13 +53,18 @@ def _order(texts: DataFrame, width: int) -> np.ndarray:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for frame in frames:
             for plain in frame["plain"]:
-                counts += np.bincount((run_hashes(plain, width) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
-        yield pd.DataFrame({"counts": [np.minimum(counts, 65535).astype("<u2").tobytes()]})
+                np.add.at(counts, (run_hashes(plain, width) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+        yield pd.DataFrame({"ranks": [np.log2(counts + 1.0).astype(np.uint8).tobytes()]})
 
-    total = np.zeros(1 << ORDER_BITS, np.int64)
-    for row in sample.coalesce(4).mapInPandas(run, "counts binary").toLocalIterator():
-        total += np.frombuffer(row.counts, "<u2")
-    return np.minimum(total, 65535).astype(np.uint16)
+    (row,) = sample.coalesce(1).mapInPandas(run, "ranks binary").collect() or [None]
+    return np.frombuffer(row.ranks, np.uint8) if row else np.zeros(1 << ORDER_BITS, np.uint8)
+
+
+def _sketches(grams: list[np.ndarray]) -> np.ndarray:
+    """Of each set, the bits that its n-grams' hashes name."""
+    bits = np.zeros((len(grams), SKETCH_BITS), bool)
+    bits[np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams) % SKETCH_BITS] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 class _Block:
@@ -66,6 +73,7 @@ class _Block:
     def __init__(self, grams: list[np.ndarray], share: float):
         self.grams, self.share = grams, share
         self.sizes = np.asarray([len(g) for g in grams], np.int64)
+        self.bits = _sketches(grams)
         self.fronts = np.asarray([_front(n, share) for n in self.sizes], np.int64)
         self.lasts = np.asarray([g[f - 1] for g, f in zip(grams, self.fronts)], np.uint64)
         keys = np.concatenate([g[:f] for g, f in zip(grams, self.fronts)])
@@ -98,6 +106,10 @@ class _Block:
         rest = np.where(lasts[b] <= self.lasts[a], sizes[b] - fronts[b], self.sizes[a] - self.fronts[a])
         needed = np.ceil(self.share / (1 + self.share) * (sizes[b] + self.sizes[a]) - 1e-9)
         keep = cells[full] + rest >= needed
+        a, b, needed = a[keep], b[keep], needed[keep]
+        # Bits set in one sketch only are n-grams in one set only, or more of them.
+        apart = np.bitwise_count(self.bits[a] ^ _sketches(others)[b]).sum(axis=1, dtype=np.int64)
+        keep = (self.sizes[a] + sizes[b] - apart) // 2 >= needed
         for i, j, need in zip(a[keep], b[keep], needed[keep]):
             both = len(np.intersect1d(self.grams[i], others[j], assume_unique=True))
             if both >= need:
@@ -123,14 +135,13 @@ def near_pairs(documents: DataFrame, width: int = 5, share: float = 0.6) -> Data
     classes = documents.groupBy("class").agg(F.first("plain").alias("plain"), F.max("train").alias("train"), F.max("evaluation").alias("evaluation"))
 
     def ordered(frames):
-        counts = sent.value
+        ranks = sent.value
         for frame in frames:
             out = []
             for plain in frame["plain"]:
                 h = run_hashes(plain, width)
-                weight = counts[(h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)].astype(np.uint64)
-                # 32 bits that sort rare n-grams first: the counter's rounded logarithm, then the hash.
-                rank = np.log2(weight + np.uint64(1)).astype(np.uint64)
+                # 32 bits that sort rare n-grams first: the count's rounded logarithm, then the hash.
+                rank = ranks[(h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)].astype(np.uint64)
                 out.append(np.unique(((rank << np.uint64(28)) | ((h ^ (h >> np.uint64(33))) & np.uint64(0xFFFFFFF))).astype(np.uint32)).tobytes())
             yield pd.DataFrame({"class": frame["class"], "grams": out, "n": [len(g) // 4 for g in out], "train": frame["train"], "evaluation": frame["evaluation"]})
 
