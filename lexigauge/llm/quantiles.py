@@ -167,15 +167,27 @@ def combine(parts: DataFrame, by: list[str], k: int = 2048, fan_in: int = 256, m
     names = [*by, "feature_id"]
     schema = ", ".join(f"`{c}` string" for c in names) + f", part int, n bigint, rank_error bigint, buffers {_BUFFERS}"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        total = Sketch(k)
-        frame = frame.sort_values("part", kind="stable")
-        for n, error, buffers in zip(frame["n"], frame["rank_error"], frame["buffers"]):
-            total.merge(int(n), int(error), [(int(b["level"]), int(b["weight"]), np.asarray(b["items"], np.float64)) for b in buffers])
-        key = tuple(frame[c].iloc[0] for c in names)
-        out = _rows({key: total}, names)
-        out.insert(len(names), "part", int(frame["part"].iloc[0]) // fan_in)
-        return out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, total, part = None, None, 0
+
+        def given() -> pd.DataFrame:
+            out = _rows({last: total}, names)
+            out.insert(len(names), "part", part)
+            return out
+
+        for frame in frames:
+            done = []
+            for row in frame.itertuples(index=False):
+                key = tuple(None if x is None or x != x else x for x in row[: len(names)])
+                if total is None or key != last:
+                    if total is not None:
+                        done.append(given())
+                    last, total, part = key, Sketch(k), int(row.slot)
+                total.merge(int(row.n), int(row.rank_error), [(int(b["level"]), int(b["weight"]), np.asarray(b["items"], np.float64)) for b in row.buffers])
+            if done:
+                yield pd.concat(done)
+        if total is not None:
+            yield given()
 
     out = parts.select(*names, "part", "n", "rank_error", "buffers")
     if most_parts is None:
@@ -184,7 +196,8 @@ def combine(parts: DataFrame, by: list[str], k: int = 2048, fan_in: int = 256, m
     while True:
         slots = -(-slots // fan_in)
         slot = F.lit(0) if slots <= 1 else F.pmod(F.xxhash64("part", "n"), F.lit(slots))
-        out = out.withColumn("slot", slot).groupBy(*names, "slot").applyInPandas(run, schema)
+        keys = [*names, "slot"]
+        out = out.withColumn("slot", slot).repartition(*keys).sortWithinPartitions(*keys, "part", "n").mapInPandas(run, schema)
         if slots <= 1:
             return out
 
