@@ -12,8 +12,10 @@ from .contamination import held_items
 from .grouping import assign_splits, broken_ties
 from .leakage import leaks
 from .quantiles import PERCENTS, combine, once, percentiles, sketches
+from .sentences import sentence_units
 from .splitting import split_items
 from .tokens import encode_column
+from .toxicity import scores
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +61,16 @@ def p2_verified(spark: SparkSession, folder: str) -> DataFrame:
     return ranks.groupBy(*keys, "n").agg(F.min(off <= F.col("rank_error")).alias("within_bound"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence unit of every distinct measured document."""
+    return sentence_units(table(spark, folder, "measured_documents")).select("document_id", "start_cp", "end_cp")
+
+
+def p3_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the count of content characters."""
+    return sentence_units(table(spark, folder, "measured_documents"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Papers longer than the limit of their format."""
     cut = split_items(table(spark, folder, "papers"), table(spark, folder, "size_limits"), with_text=False)
@@ -119,9 +131,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source, condition, feature_
                   count(*) OVER (PARTITION BY source, condition, feature_id) AS n FROM vals)"""
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or explicit passages."""
+    return scores(table(spark, folder, "documents"), table(spark, folder, "review_labels")).where("abusive").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return scores(table(spark, folder, "documents"), table(spark, folder, "review_labels")).select("doc_id", "score")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of such documents per source."""
+    found = scores(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
+    return found.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("abusive").cast("long")).alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("double")), 9).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    own = (p1_found, p1_report, p2_percentiles, p2_from_days, p2_verified, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items)
+    own = (p1_found, p1_report, p2_percentiles, p2_from_days, p2_verified, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
     return {q.__name__: q for q in own}
 
 
