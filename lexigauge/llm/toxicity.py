@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each kind that train the models, rounds of reassignment, tokens of a window, and the score from which a document counts.
-TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 3000, 4, 6, 1.5
+TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 6000, 3, 6, 1.1
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝӏкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινκρτυχ", "aeopcyxijshdqwlkmtbnabezhikmnoptyxaoivkptux")
@@ -35,8 +35,9 @@ _LONG = re.compile(r"([a-zà-ÿ])\1{2,}")
 _HAN = "぀-ヿ㐀-鿿"
 _PARTED = re.compile(rf"(?<=[{_HAN}])[ *_.·\-]+(?=[{_HAN}])")
 _MASKED = re.compile(r"(?<![\w*])[a-zà-ÿ]+\*{2,}[a-zà-ÿ]*(?![\w*])")
-_PASSAGES = re.compile(r"[^.!?。！？．।؟\n\r]+")
-_TOKENS = re.compile(rf"[{_HAN}]|(?:[^\W\d_{_HAN}]|[̀-ًͯ-ٟऀ-ॿ઀-෿ัิ-ฺ็-๎])+|\d+|\x01")
+_HAN_ANY = re.compile(f"[{_HAN}]")
+_ENDS = frozenset(".!?。！？．।؟\n\r")
+_TOKENS = re.compile(rf"[{_HAN}]|[^\W_{_HAN}@$+|](?:[^\W_{_HAN}]|[@$+|\u0300-\u036f\u064b-\u065f\u0900-\u0dff\u0e31-\u0e4e])*|[@$+|]+[^\W_{_HAN}](?:[^\W_{_HAN}]|[@$+|])*|\x01|[.!?。！？．।؟\n\r]")
 
 #: A few plain examples of abuse, so that tables with hardly any label give a model; they count like passages of the labelled documents.
 EXAMPLES = (
@@ -44,28 +45,46 @@ EXAMPLES = (
     "i will beat you up", "those people are vermin", "they are subhuman filth and should be driven out", "he fucked her on the bed", "send me your nude pictures",
     "du bist ein idiot", "halt die fresse du arschloch", "ich bringe dich um", "dieses pack ist ungeziefer", "tu es un imbécile", "ferme ta gueule connard",
     "je vais te tuer", "ces gens sont de la vermine", "eres un idiota", "cállate gilipollas", "te voy a matar", "esa gente es basura", "你是个白痴", "去死吧废物",
-    "我要杀了你", "他们都是害虫", "お前は馬鹿だ", "死ねクズ", "お前を殺す", "あいつらは害虫だ",
+    "what a bitch", "she is a whore and a slut", "you filthy scum", "you bastard", "what an asshole", "he is a cretin and a halfwit", "you dumb loser", "that fucking cunt",
+    "so ein trottel", "du dummer depp", "du wichser", "diese schlampe ist eine hure", "so ein dreckiges schwein", "espèce de salope", "sale ordure", "pauvre minable", "quel crétin", "fils de pute",
+    "qué imbécil", "maldito cabrón", "hijo de puta", "estúpida zorra", "escoria y alimañas", "你这个傻逼", "混蛋王八蛋", "贱人婊子", "人渣脑残", "このアホが", "ブスのくせに", "クズ野郎", "我要杀了你", "他们都是害虫", "お前は馬鹿だ", "死ねクズ", "お前を殺す", "あいつらは害虫だ",
 )
 
 
-def plain(text: str) -> str:
-    """Lower-case text with look-alike letters, letters written as signs, spaced, drawn-out and masked words undone."""
+def _word(raw: str) -> str:
+    """One token with look-alike letters, letters written as signs and drawn-out letters undone; a number is "0"."""
+    if raw.isdigit():
+        return "0"
+    word = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), raw)
+    word = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), word)
+    return _LONG.sub(r"\1", word.strip("@$+|"))
+
+
+def tokens(text: str) -> list[str]:
+    """Raw tokens of the whole text, with spaced, parted and masked words undone; "\\n" ends a passage."""
     text = unicodedata.normalize("NFKC", _FORMAT.sub("", text)).lower()
-    text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
-    text = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), text)
-    text = _PARTED.sub("", text)
-    text = _SPACED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), text)
-    text = _MASKED.sub(" \x01 ", text)
-    return _LONG.sub(r"\1", text).replace("_", " ")
+    if _HAN_ANY.search(text):
+        text = _PARTED.sub("", text)
+    if "**" in text:
+        text = _MASKED.sub(" \x01 ", text)
+    if "_" in text:
+        text = text.replace("_", " ")
+    found = _TOKENS.findall(text)
+    if sum(len(t) == 1 and t.isalpha() and not _HAN_ANY.match(t) for t in found) > 2:
+        found = _TOKENS.findall(_SPACED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), text))
+    return found
 
 
 def passages(text: str) -> list[list[str]]:
     """The tokens of each passage; numbers are "0", a masked word is one token."""
-    out = []
-    for m in _PASSAGES.finditer(plain(text)):
-        tokens = ["0" if t[0].isdigit() else t for t in _TOKENS.findall(m[0])]
-        if len(tokens) > 1:
-            out.append(tokens)
+    out, now = [], []
+    for raw in [*tokens(text), "\n"]:
+        if raw[0] in _ENDS:
+            if len(now) > 1:
+                out.append(now)
+            now = []
+        elif word := _word(raw):
+            now.append(word)
     return out
 
 
@@ -103,82 +122,106 @@ class KneserNey:
         return math.log(p)
 
 
+class _Numbers(dict):
+    """Token numbers by raw token: -1 ends a passage, -2 is nothing."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, raw: str) -> int:
+        word = _word(raw)
+        number = -1 if raw[0] in _ENDS else self.vocabulary.get(word, 0) if word else -2
+        if len(self) > 1_000_000:
+            self.clear()
+        self[raw] = number
+        return number
+
+
 class Model:
-    """The two models and the vocabulary, with the differences of trigrams seen before."""
+    """The two models and the vocabulary, with the numbers and differences seen before."""
 
     def __init__(self, vocabulary: dict[str, int], abusive: KneserNey, ordinary: KneserNey):
         self.vocabulary, self.abusive, self.ordinary = vocabulary, abusive, ordinary
-        self.known = {}
+        self.known, self.numbers = {}, _Numbers(vocabulary)
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    def __reduce__(self):
+        return Model, (self.vocabulary, self.abusive, self.ordinary)
+
+    def difference(self, key: tuple[int, int, int]) -> float:
+        value = self.abusive.logp(*key) - self.ordinary.logp(*key)
+        if len(self.known) > 2_000_000:
+            self.known.clear()
+        self.known[key] = value
+        return value
 
     def differences(self, row: list[int]) -> list[float]:
-        known, out, a, b = self.known, [], 1, 1
-        for c in row:
-            key = (a, b, c)
-            value = known.get(key)
-            if value is None:
-                value = self.abusive.logp(a, b, c) - self.ordinary.logp(a, b, c)
-                if len(known) > 2_000_000:
-                    known.clear()
-                known[key] = value
-            out.append(value)
-            a, b = b, c
-        return out
-
-    def passage_score(self, tokens: list[str]) -> float:
+        known, whole = self.known, [1, 1, *row]
+        return [known[k] if k in known else self.difference(k) for k in zip(whole, whole[1:], whole[2:])]
+
+    def best(self, row: list[int]) -> float:
         """The greatest mean difference over windows of ``WINDOW`` tokens; a shorter passage counts as at least 4."""
-        number = self.vocabulary.get
-        row = self.differences([number(t, 0) for t in tokens])
-        if len(row) <= WINDOW:
-            return sum(row) / max(4, len(row))
-        sums = np.cumsum([0.0, *row])
-        return float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
+        values = self.differences(row)
+        if len(values) <= WINDOW:
+            return sum(values) / max(4, len(values))
+        now = top = sum(values[:WINDOW])
+        for gone, new in zip(values, values[WINDOW:]):
+            now += new - gone
+            if now > top:
+                top = now
+        return top / WINDOW
+
+    def passage_score(self, words: list[str]) -> float:
+        return self.best([self.vocabulary.get(t, 0) for t in words])
 
     def score(self, text: str) -> float:
         """The greatest score of a passage; 0 at least."""
-        return max((self.passage_score(p) for p in passages(text)), default=0.0) if text else 0.0
+        numbers, row, top = self.numbers, [], 0.0
+        for raw in tokens(text):
+            n = numbers[raw]
+            if n >= 0:
+                row.append(n)
+            elif n == -1 and row:
+                if len(row) > 1:
+                    top = max(top, self.best(row))
+                row = []
+        return max(top, self.best(row)) if len(row) > 1 else top
 
 
 def fitted(abusive: list[str], ordinary: list[str]) -> Model:
     """Models from texts labelled as a whole."""
-    held = [[p for p in passages(t)] for t in abusive]
-    usual = [p for t in ordinary for p in passages(t)]
+    held, usual = [passages(t) for t in abusive], [passages(t) for t in ordinary]
     own = [p for t in EXAMPLES for p in passages(t)]
-    counts = Counter(t for group in (usual, own, own, *held) for p in group for t in p)
-    vocabulary = {t: i + 2 for i, t in enumerate(sorted(t for t, n in counts.items() if n > 1))}
-    size = len(vocabulary) + 2
-    numbers = lambda rows: [[vocabulary.get(t, 0) for t in p] for p in rows]
-    usual_ids, held_ids, own_ids = numbers(usual), [numbers(d) for d in held], numbers(own)
-    seen = Counter(g for row in usual_ids for g in set(zip(row, row[1:])))
-    strange = lambda row: sum(seen[g] < 3 for g in zip(row, row[1:])) / max(3, len(row) - 1)
-    # First the strangest passage of each document labelled abusive, then whatever the models prefer.
-    chosen = [max(d, key=strange) for d in held_ids if d]
-    chosen = [row for row in chosen if strange(row) > 0.4] + own_ids
-    kept, model = usual_ids, None
+    spread = Counter(t for doc in (*usual, *held, own, own, own) for t in {x for p in doc for x in p})
+    for p in own:
+        spread.update(dict.fromkeys(p, 3))
+    vocabulary = {t: i + 2 for i, t in enumerate(sorted(t for t, n in spread.items() if n > 2))}
+    size, number = len(vocabulary) + 2, vocabulary.get
+    numbers = lambda rows: [[number(t, 0) for t in p] for p in rows]
+    held, usual, own = [numbers(d) for d in held], [numbers(d) for d in usual], numbers(own)
+    pairs = lambda row: zip(row, row[1:])
+
+    def spreads(docs: list[list[list[int]]]) -> Counter:
+        return Counter(g for d in docs for g in {g for row in d for g in pairs(row)})
+
+    # Pairs of tokens that stand in a larger share of the documents labelled abusive than of the others.
+    high, low, ratio = spreads(held), spreads(usual), max(1, len(usual)) / max(1, len(held))
+    few = len(held) < 200
+    typical = {g for g, n in high.items() if (n > 1 and n * ratio > 4 * (low[g] + 0.5)) or (few and not low[g])}
+    share = lambda row: sum(g in typical for g in pairs(row)) / max(3, len(row) - 1)
+    rest = [row for d in held for row in d]
+    chosen = [row for d in held if d and share(row := max(d, key=share)) > 0.4] + own
+    usual = [row for d in usual for row in d]
+    near = [i for i, row in enumerate(usual) if share(row) > 0.25]
+    model = Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(usual + [row for row in rest if share(row) < 0.25]))
+    ordinary_model, flags = model.ordinary, []
     for _ in range(ROUNDS):
-        model = Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(kept))
-
-        def marked(row: list[int], model: Model = model) -> bool:
-            return sum(model.differences(row)) > 0.8 * max(4, len(row))
-
-        rest = [row for d in held_ids for row in d]
-        flags = [marked(row) for row in rest]
-        # A passage told apart by accident is alone; abuse recurs, in documents labelled so more than in others.
-        high, low = defaultdict(int), defaultdict(int)
-        for row, flag in zip(rest, flags):
-            if flag:
-                for g in set(zip(row, row[1:])):
-                    high[g] += 1
-        stray = [row for row in usual_ids if marked(row)]
-        for row in stray:
-            for g in set(zip(row, row[1:])):
-                low[g] += 1
-        shown = lambda row: sum(high[g] * len(usual_ids) > 4 * low[g] * len(rest) and high[g] > 1 for g in zip(row, row[1:])) >= 0.5 * (len(row) - 1)
-        chosen = [row for row, flag in zip(rest, flags) if flag and shown(row)] + own_ids
-        again = {tuple(row) for row in stray if shown(row)}
-        kept = [row for row in usual_ids if tuple(row) not in again] + [row for row, flag in zip(rest, flags) if not flag]
+        model = Model(vocabulary, KneserNey(size).fit(chosen), ordinary_model)
+        # The best window must be abusive, and what makes it so must be typical or, in a document labelled abusive, new.
+        flags = [model.best(row) > 1.0 and share(row) > 0.25 for row in rest]
+        chosen = [row for row, flag in zip(rest, flags) if flag] + own
+    gone = {i for i in near if model.best(usual[i]) > 1.0}
+    kept = [row for i, row in enumerate(usual) if i not in gone] + [row for row, flag in zip(rest, flags) if not flag]
     return Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(kept))
 
 
