@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each kind that train the models, rounds of reassignment, tokens of a window, and the score from which a document counts.
-TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 6000, 3, 6, 1.1
+TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 6000, 3, 6, 1.75
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝӏкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινκρτυχ", "aeopcyxijshdqwlkmtbnabezhikmnoptyxaoivkptux")
@@ -209,19 +209,22 @@ def fitted(abusive: list[str], ordinary: list[str]) -> Model:
     few = len(held) < 200
     typical = {g for g, n in high.items() if (n > 1 and n * ratio > 4 * (low[g] + 0.5)) or (few and not low[g])}
     share = lambda row: sum(g in typical for g in pairs(row)) / max(3, len(row) - 1)
-    rest = [row for d in held for row in d]
     chosen = [row for d in held if d and share(row := max(d, key=share)) > 0.4] + own
     usual = [row for d in usual for row in d]
     near = [i for i, row in enumerate(usual) if share(row) > 0.25]
-    model = Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(usual + [row for row in rest if share(row) < 0.25]))
-    ordinary_model, flags = model.ordinary, []
+    plain_rest = [row for d in held for row in d if share(row) < 0.25]
+    usual_model = KneserNey(size).fit(usual)
     for _ in range(ROUNDS):
-        model = Model(vocabulary, KneserNey(size).fit(chosen), ordinary_model)
-        # The best window must be abusive, and what makes it so must be typical or, in a document labelled abusive, new.
-        flags = [model.best(row) > 1.0 and share(row) > 0.25 for row in rest]
-        chosen = [row for row, flag in zip(rest, flags) if flag] + own
+        model = Model(vocabulary, KneserNey(size).fit(chosen), usual_model)
+        chosen = list(own)
+        for d in held:
+            # The best window must be abusive, and what makes it so typical of documents labelled abusive; failing that, the most abusive passage will do.
+            found = [row for row in d if share(row) > 0.25 and model.best(row) > 1.0]
+            if not found and d and model.best(row := max(d, key=model.best)) > 0.3:
+                found = [row]
+            chosen += found
     gone = {i for i in near if model.best(usual[i]) > 1.0}
-    kept = [row for i, row in enumerate(usual) if i not in gone] + [row for row, flag in zip(rest, flags) if not flag]
+    kept = [row for i, row in enumerate(usual) if i not in gone] + [row for row in plain_rest if model.best(row) <= 0]
     return Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(kept))
 
 
