@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The modules of ``plans``; each holds QUERIES: name -> (query, SQL or None).
+PLANS = ("surface",)
+
+
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    out = {}
+    for name in PLANS:
+        out.update(importlib.import_module(f"{__package__}.plans.{name}").QUERIES)
+    return out
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The surface features of every document."""
@@ -14,9 +25,9 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL by name of query."""
-    return {}
+    """SQL by name of query, where SQL can express it."""
+    return {name: sql for name, (_, sql) in _all().items() if sql}
