@@ -69,10 +69,7 @@ def tokens(text: str) -> list[str]:
         text = _MASKED.sub(" \x01 ", text)
     if "_" in text:
         text = text.replace("_", " ")
-    found = _TOKENS.findall(text)
-    if sum(len(t) == 1 and t.isalpha() and not _HAN_ANY.match(t) for t in found) > 2:
-        found = _TOKENS.findall(_SPACED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), text))
-    return found
+    return _TOKENS.findall(_SPACED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), text))
 
 
 def passages(text: str) -> list[list[str]]:
@@ -112,14 +109,19 @@ class KneserNey:
             self.kinds[2][a, b] += 1
         return self
 
-    def logp(self, a: int, b: int, c: int) -> float:
+    def pair(self, b: int, c: int) -> float:
+        """The probability of ``c`` after ``b`` when nothing more is known."""
         d, one = self.discount, self.sums[0]
-        p = (max(self.counts[0][c] - d, 0) + d * self.kinds[0] / self.size) / one if one else 1 / self.size
-        for level, context, gram in ((1, b, (b, c)), (2, (a, b), (a, b, c))):
-            total = self.sums[level].get(context) if one else None
-            if total:
-                p = (max(self.counts[level].get(gram, 0) - d, 0) + d * self.kinds[level][context] * p) / total
-        return math.log(p)
+        if not one:
+            return 1 / self.size
+        p = (max(self.counts[0][c] - d, 0) + d * self.kinds[0] / self.size) / one
+        total = self.sums[1].get(b)
+        return (max(self.counts[1].get((b, c), 0) - d, 0) + d * self.kinds[1][b] * p) / total if total else p
+
+    def logp(self, a: int, b: int, c: int) -> float:
+        d, p = self.discount, self.pair(b, c)
+        total = self.sums[2].get((a, b))
+        return math.log((max(self.counts[2].get((a, b, c), 0) - d, 0) + d * self.kinds[2][a, b] * p) / total if total else p)
 
 
 class _Numbers(dict):
@@ -138,26 +140,43 @@ class _Numbers(dict):
         return number
 
 
+class _Differences(dict):
+    """Differences of the two models' log-probabilities by trigram; of pairs where no model knows the two tokens before."""
+
+    def __init__(self, abusive: KneserNey, ordinary: KneserNey):
+        super().__init__()
+        self.abusive, self.ordinary, self.pairs = abusive, ordinary, {}
+        self.contexts = (set(abusive.sums[2]) | set(ordinary.sums[2])) if abusive.sums[0] or ordinary.sums[0] else set()
+
+    def __missing__(self, key: tuple[int, int, int]) -> float:
+        a, b, c = key
+        if (a, b) not in self.contexts:
+            value = self.pairs.get((b, c))
+            if value is None:
+                if len(self.pairs) > 1_000_000:
+                    self.pairs.clear()
+                value = self.pairs[b, c] = math.log(self.abusive.pair(b, c) / self.ordinary.pair(b, c))
+            return value
+        value = self.abusive.logp(a, b, c) - self.ordinary.logp(a, b, c)
+        if len(self) > 1_000_000:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Model:
     """The two models and the vocabulary, with the numbers and differences seen before."""
 
     def __init__(self, vocabulary: dict[str, int], abusive: KneserNey, ordinary: KneserNey):
         self.vocabulary, self.abusive, self.ordinary = vocabulary, abusive, ordinary
-        self.known, self.numbers = {}, _Numbers(vocabulary)
+        self.known, self.numbers = _Differences(abusive, ordinary), _Numbers(vocabulary)
 
     def __reduce__(self):
         return Model, (self.vocabulary, self.abusive, self.ordinary)
 
-    def difference(self, key: tuple[int, int, int]) -> float:
-        value = self.abusive.logp(*key) - self.ordinary.logp(*key)
-        if len(self.known) > 2_000_000:
-            self.known.clear()
-        self.known[key] = value
-        return value
-
     def differences(self, row: list[int]) -> list[float]:
         known, whole = self.known, [1, 1, *row]
-        return [known[k] if k in known else self.difference(k) for k in zip(whole, whole[1:], whole[2:])]
+        return [known[k] for k in zip(whole, whole[1:], row)]
 
     def best(self, row: list[int]) -> float:
         """The greatest mean difference over windows of ``WINDOW`` tokens; a shorter passage counts as at least 4."""
