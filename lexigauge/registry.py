@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: The modules of ``plans``; each holds QUERIES: name -> (query, SQL or None).
-PLANS = ("surface", "intervals", "components", "english", "editorial", "papers", "proofs", "channels")
+PLANS = ("surface", "intervals", "components", "english", "editorial", "papers", "proofs", "channels", "sources")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
