@@ -1,18 +1,21 @@
 """Paragraphs, sentences and the eight surface features, at exact code points.
 
-Nothing here shuffles a text: features come from per-document arrays, and only
-the rank correlation explodes (document, position, length) rows.
+Nothing here shuffles a text: features come from per-document arrays in one narrow
+pass, and only spans need a window over the pieces of a document.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPACE
 
-#: A content character (letters and numbers; CJK extension H is newer than the JVM's table).
-CONTENT = r"[\p{L}\p{N}\x{31350}-\x{323af}]"
+#: What is no content character (content is letters and numbers; CJK extension H is newer than the JVM's table).
+OTHER = r"[^\p{L}\p{N}\x{31350}-\x{323af}]+"
 #: Marks that always end a sentence, and what may close after them.
 TERMINALS, CLOSERS = "。！？!?．", "”’」』）》】〕〗〙〛\"'"
 #: Parts are joined by a code point that no text may hold.
@@ -24,7 +27,7 @@ FEATURES = ("F002", "F003", "F013", "F014", "F015", "F016", "F024", "F025")
 
 def content_chars(text: Column) -> Column:
     """Number of letters and numbers, 0 for an empty text, null for null."""
-    return F.regexp_count(text, F.lit(CONTENT)).cast("long")
+    return F.length(F.regexp_replace(text, OTHER, "")).cast("long")
 
 
 def sentence_pieces(line: Column) -> Column:
@@ -80,39 +83,48 @@ def quantile(ordered: Column, q: float) -> Column:
     return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
 
 
-def lag1_spearman(lengths: DataFrame) -> DataFrame:
-    """``(doc_id, f025)`` from rows ``(doc_id, pos, n)``: rank correlation of neighbours, ties ranked on average.
+def lag1_spearman(lengths: pd.Series) -> pd.Series:
+    """Rank correlation of neighbouring values of each array, ties ranked on average.
 
-    Null below four values or without variance.
+    Null below four values or without variance. Ranks of an array have no
+    built-in form short of exploding it and shuffling twice, so the arrays of
+    lengths alone go through Arrow.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = lengths.select("doc_id", F.col("n").alias("a"), F.lead("n").over(order).alias("b"), F.count("*").over(Window.partitionBy("doc_id")).alias("size")).where("b is not null and size >= 4")
-
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy("doc_id").orderBy(c)) + (F.count("*").over(Window.partitionBy("doc_id", c)) - 1) / 2
-
-    ranked = pairs.select("doc_id", rank("a").alias("x"), rank("b").alias("y"))
-    return ranked.groupBy("doc_id").agg(F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y"))).alias("f025"))
+    out = []
+    for values in lengths:
+        if values is None or len(values) < 4:
+            out.append(None)
+            continue
+        pair = []
+        for part in (values[:-1], values[1:]):
+            _, where, count = np.unique(part, return_inverse=True, return_counts=True)
+            rank = (np.cumsum(count) - (count - 1) / 2)[where]
+            pair.append(rank - rank.mean())
+        scale = np.sqrt((pair[0] @ pair[0]) * (pair[1] @ pair[1]))
+        out.append(float(pair[0] @ pair[1] / scale) if scale else None)
+    return pd.Series(out, dtype="Float64")
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """One row per document: counts and the eight features, ``f002 .. f025``.
+    """One row per document: counts and the eight features, ``f002 .. f025``. No shuffle.
 
     A null text gives null counts and features; a text without content has zero counts.
     """
-    lines = F.transform(F.split("text", r"[\r\n]"), lambda t: F.struct(content_chars(t).alias("c"), F.size(sentence_lengths(t)).alias("s")))
-    base = documents.select("doc_id", F.filter(lines, lambda x: x["c"] > 0).alias("paras"), sentence_lengths(F.col("text")).alias("lens"))
+    by_line = F.filter(F.transform(F.split("text", r"[\r\n]"), sentence_lengths), lambda n: F.size(n) > 0)
+    base = documents.select("doc_id", by_line.alias("paras")).select("doc_id", "paras", F.flatten("paras").alias("lens"))
+    n = F.size("lens")
     counted = base.select(
         "doc_id", "lens", F.sort_array("lens").alias("ordered"),
-        F.size("lens").cast("long").alias("n_sentences"), F.size("paras").cast("long").alias("n_paragraphs"),
-        F.aggregate("paras", F.lit(0).cast("long"), lambda a, x: a + x["c"]).alias("n_content"),
-        F.size(F.filter("paras", lambda x: x["s"] == 1)).cast("long").alias("n_single"),
+        F.when(F.col("lens").isNotNull(), n).cast("long").alias("n_sentences"), F.when(F.col("lens").isNotNull(), F.size("paras")).cast("long").alias("n_paragraphs"),
+        F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_content"),
+        F.size(F.filter("paras", lambda x: F.size(x) == 1)).cast("long").alias("n_single"),
     )
-    middle = quantile(F.col("ordered"), 0.5)
-    steps = F.zip_with(F.slice("lens", 2, F.greatest(F.size("lens") - 1, F.lit(0))), F.slice("lens", 1, F.greatest(F.size("lens") - 1, F.lit(0))), lambda a, b: F.abs(a - b))
-    step_sum = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
-    shaped = counted.withColumn("median", middle).withColumn("off", F.sort_array(F.transform("lens", lambda n: F.abs(n - F.col("median")))))
-    out = shaped.select(
+    few = F.greatest(n - 1, F.lit(0))
+    steps = F.zip_with(F.slice("lens", 1, few), F.slice("lens", 2, few), lambda a, b: F.abs(b - a))
+    rho = F.pandas_udf(lag1_spearman, T.DoubleType())
+    shaped = counted.withColumns({"median": quantile(F.col("ordered"), 0.5), "step_sum": F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), "f025": rho("lens")})
+    shaped = shaped.withColumn("off", F.sort_array(F.transform("lens", lambda x: F.abs(x - F.col("median")))))
+    return shaped.select(
         "doc_id", "n_sentences", "n_paragraphs", "n_content",
         F.try_divide(F.lit(1000.0) * F.col("n_paragraphs"), F.col("n_content")).alias("f002"),
         F.try_divide(F.col("n_single").cast("double"), F.col("n_paragraphs")).alias("f003"),
@@ -120,10 +132,9 @@ def measured(documents: DataFrame) -> DataFrame:
         (quantile(F.col("ordered"), 0.75) - quantile(F.col("ordered"), 0.25)).alias("f014"),
         quantile(F.col("ordered"), 0.9).alias("f015"),
         F.try_divide(quantile(F.col("off"), 0.5), F.col("median")).alias("f016"),
-        F.when(F.col("n_sentences") > 1, F.try_divide(step_sum / F.greatest(F.col("n_sentences") - 1, F.lit(1)), F.col("median"))).alias("f024"),
+        F.when(F.col("n_sentences") > 1, F.try_divide(F.col("step_sum") / F.greatest(F.col("n_sentences") - 1, F.lit(1)), F.col("median"))).alias("f024"),
+        "f025",
     )
-    spread = documents.select("doc_id", F.posexplode(sentence_lengths(F.col("text"))).alias("pos", "n"))
-    return out.join(lag1_spearman(spread), "doc_id", "left")
 
 
 #: Of each feature: its unit of counting, and how many units make it comparable.
