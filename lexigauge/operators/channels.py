@@ -268,3 +268,22 @@ def catalog(spark) -> DataFrame:
     for c in CHANNELS:
         counts[c.split(".")[0]] = counts.get(c.split(".")[0], 0) + 1
     return spark.createDataFrame(sorted(counts.items()), "family string, n long")
+
+
+def parse_coverage(parses: DataFrame) -> DataFrame:
+    """``(document_id, n_parses, n_sentences, n_repeated, n_missing, n_ok, n_pos_only, n_failed, n_clipped, complete)`` of stored parses.
+
+    Indices run from 0; a row again with the same index and span is a repeat, and
+    an index never seen below the greatest one is missing. A document is complete when nothing is missing,
+    failed or clipped. Null ids and null indices are left out.
+    """
+    rows = parses.where("document_id is not null and source_sentence_index is not null")
+    once = rows.groupBy("document_id", "source_sentence_index").agg(
+        F.count("*").alias("n"), F.max((F.col("status") == "ok").cast("int")).alias("ok"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"),
+        F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("analysis_status") == "clipped").cast("int")).alias("clipped"),
+    )
+    per = once.groupBy("document_id").agg(
+        F.sum("n").alias("n_parses"), F.count("*").alias("n_sentences"), (F.sum("n") - F.count("*")).alias("n_repeated"), (F.max("source_sentence_index") + 1 - F.count("*")).alias("n_missing"),
+        F.sum("ok").alias("n_ok"), F.sum("pos_only").alias("n_pos_only"), F.sum("failed").alias("n_failed"), F.sum("clipped").alias("n_clipped"),
+    )
+    return per.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_failed") == 0) & (F.col("n_clipped") == 0))

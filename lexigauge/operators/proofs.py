@@ -144,3 +144,25 @@ def gate(findings: DataFrame, blockers: DataFrame, checks: DataFrame, graphs: Da
 def explanation_order(order: DataFrame, needed: DataFrame, known: DataFrame) -> DataFrame:
     """``(graph, node, place)`` of needed nodes that the reader does not know, prerequisites first."""
     return order.join(needed, ["graph", "node"]).join(known.select("graph", "node").distinct(), ["graph", "node"], "left_anti").select("graph", "node", "place")
+
+
+#: The checks that a review must hold, each once.
+REVIEW_CHECKS = 5
+
+
+def receipt_problems(reviews: DataFrame, current: DataFrame) -> DataFrame:
+    """``(graph, problem)``: reviews that are not of the current candidate and reconstruction, or not of exactly the wanted checks.
+
+    ``reviews``: ``graph, candidate_sha256, reconstruction_sha256, checks array<struct<id,status>>``;
+    ``current``: ``graph, candidate_sha256, reconstruction_sha256``. A null never matches.
+    """
+    now = current.select("graph", F.col("candidate_sha256").alias("c"), F.col("reconstruction_sha256").alias("r"), F.lit(True).alias("known"))
+    rows = reviews.join(now, "graph", "left")
+    ids = F.array_distinct("checks.id")
+    odd = F.exists("checks", lambda x: ~F.coalesce(x["status"].isin("pass", "fail", "uncertain"), F.lit(False)))
+    problem = (
+        F.when(F.col("known").isNull(), "unknown_graph").when(~F.coalesce(F.col("candidate_sha256") == F.col("c"), F.lit(False)), "stale_candidate")
+        .when(~F.coalesce(F.col("reconstruction_sha256") == F.col("r"), F.lit(False)), "stale_reconstruction")
+        .when(~F.coalesce((F.size("checks") == REVIEW_CHECKS) & (F.size(ids) == REVIEW_CHECKS), F.lit(False)), "checks").when(odd, "status")
+    )
+    return rows.select("graph", problem.alias("problem")).where("problem is not null")

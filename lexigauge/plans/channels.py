@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as c
-from .english import _TOKENS, _english
 from ..operators.english import tokens as letter_runs
+from ..sources.tables import table
+from .english import _TOKENS, _english
 
 _ALL = (*c.POS, *c.OTHER_POS)
 
@@ -103,6 +104,13 @@ UNION ALL SELECT doc_id, 's' || sent, 's' || (sent + 1), 'original_next_sentence
         f"""WITH {_SQL}, x AS (SELECT doc_id, sent, max(id) AS n FROM tok GROUP BY 1, 2)
 SELECT doc_id, sent, CASE WHEN doc_id % 7 = 0 AND sent = 0 THEN 'missing_parse' ELSE 'ids' END AS problem FROM x
 WHERE (doc_id % 7 = 0 AND sent = 0 AND doc_id % 17 <> 0) OR (doc_id % 5 = 0 AND sent = 1 AND n > 2)""",
+    ),
+    "parse_coverage": (
+        lambda spark, d: c.parse_coverage(table(spark, d, "sentence_parses")),
+        """WITH o AS (SELECT document_id, source_sentence_index AS i, count(*) AS n, max((status = 'ok')::INT) AS ok, max((status = 'pos_only')::INT) AS po, max((status = 'failed')::INT) AS fa, max((analysis_status = 'clipped')::INT) AS cl
+  FROM sentence_parses WHERE document_id IS NOT NULL AND source_sentence_index IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT document_id, sum(n)::BIGINT AS n_parses, count(*) AS n_sentences, (sum(n) - count(*))::BIGINT AS n_repeated, max(i) + 1 - count(*) AS n_missing, sum(ok)::BIGINT AS n_ok, sum(po)::BIGINT AS n_pos_only, sum(fa)::BIGINT AS n_failed, sum(cl)::BIGINT AS n_clipped FROM o GROUP BY 1)
+SELECT *, n_missing = 0 AND n_failed = 0 AND n_clipped = 0 AS complete FROM p""",
     ),
     "channel_catalog": (
         lambda spark, d: c.catalog(spark),

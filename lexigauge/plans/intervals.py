@@ -10,6 +10,7 @@ from ..operators import surface
 from ..sources.tables import table
 from .surface import _PARAGRAPHS, _SENTENCES
 
+# All rows take part everywhere; where a rule on ids leaves something out (here and in the other plans) it only makes both outcomes of a check occur.
 #: Up to three targets per document: two that touch, one after a gap.
 _CUTS = (("0", "n / 5"), ("n / 5", "2 * n / 5"), ("3 * n / 5", "4 * n / 5"))
 

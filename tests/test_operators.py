@@ -156,6 +156,19 @@ def test_channels(spark):
     assert len(channels.vectors(channels.channels(s, t)).first().value) == 71
 
 
+def test_parse_coverage(spark):
+    rows = [("a", 0, "ok", "complete"), ("a", 0, "ok", "complete"), ("a", 2, "failed", "clipped"), ("b", 0, "pos_only", "complete"), (None, 0, "ok", "complete"), ("c", None, "ok", "complete")]
+    got = {r.document_id: r for r in channels.parse_coverage(spark.createDataFrame(rows, "document_id string, source_sentence_index int, status string, analysis_status string")).collect()}
+    assert set(got) == {"a", "b"} and (got["a"].n_parses, got["a"].n_repeated, got["a"].n_missing, got["a"].complete) == (3, 1, 1, False) and got["b"].complete
+
+
+def test_receipts(spark):
+    five = [(f"c{i}", "pass") for i in range(5)]
+    reviews = spark.createDataFrame([("g", "x", "y", five), ("h", "old", "y", five), ("i", "x", "old", five), ("j", "x", "y", five[:4]), ("k", "x", "y", [*five[:4], ("c9", "maybe")]), ("z", "x", "y", five), ("n", None, "y", five)], "graph string, candidate_sha256 string, reconstruction_sha256 string, checks array<struct<id:string,status:string>>")
+    now = spark.createDataFrame([(g, "x", "y") for g in "ghijkn"], "graph string, candidate_sha256 string, reconstruction_sha256 string")
+    assert {r.graph: r.problem for r in proofs.receipt_problems(reviews, now).collect()} == {"h": "stale_candidate", "i": "stale_reconstruction", "j": "checks", "k": "status", "z": "unknown_graph", "n": "stale_candidate"}
+
+
 CHUNKS = "upload_id string, idx int, total int, text string, format string, source string"
 
 
