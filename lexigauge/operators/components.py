@@ -33,7 +33,7 @@ def split_leaks(observations: DataFrame) -> DataFrame:
 
 
 def long(observations: DataFrame) -> DataFrame:
-    """Finite or null values, one row per TRAIN or DEV observation and feature; incomplete rows are left out, non-finite values are null."""
+    """Finite or null values of any magnitude, one row per TRAIN or DEV observation and feature; incomplete rows are left out, non-finite values are null."""
     whole = observations.where("split in ('TRAIN', 'DEV') and id is not null and component_id is not null and source is not null and condition is not null")
     kept = whole.groupBy("id").agg(F.min_by(F.struct("split", "source", "condition", "component_id", "features"), F.struct("received_at", "measured_at", "component_id", "split", "source", "condition")).alias("r")).select("r.*")
     rows = kept.select("split", "source", "condition", "component_id", F.explode("features").alias("feature_id", "value"))

@@ -10,7 +10,7 @@ from ..operators import components as c
 from ..sources.files import verified
 from ..sources.tables import table
 from ..streaming.uploads import assembled
-from .components import _DIFF, _ROWS, _obs, _tame
+from .components import _DIFF, _ROWS, _obs
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _card(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.contrasts(_tame(c.long(_obs(spark, d)))).where("source = 'web'").select("split", "feature_id", F.col("human_minus_chatgpt").alias("difference"), (F.col("paired_components") >= 2).alias("supported"))
+    rows = c.contrasts(c.long(_obs(spark, d))).where("source = 'web'").select("split", "feature_id", F.col("human_minus_chatgpt").alias("difference"), (F.col("paired_components") >= 2).alias("supported"))
     return cards.general(rows.where("split = 'TRAIN'"), rows.where("split = 'DEV'")).select("feature_id", F.round("train", 9).alias("train"), F.round("dev", 9).alias("dev"), "same_sign")
 
 
