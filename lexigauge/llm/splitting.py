@@ -1,7 +1,8 @@
 """Problem 4: items over a size limit cut into overlapping pieces at natural boundaries.
 
-Each piece ends at the strongest boundary its length window permits, found by
-a sparse-table range maximum; ties go to the right.
+Each piece ends at the strongest boundary of the upper part of its length window
+or, where that holds no sentence end or stronger one, of the whole window, found
+by a sparse-table range maximum; ties go to the right.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ _BOUNDARIES = (
 )
 
 
+#: The least strength of a boundary for which the lower part of a window is searched too: a sentence end.
+_NATURAL = 3
+
+
 class _RangeMaximum:
     """Greatest of ``values[i:j]`` in constant time."""
 
@@ -47,9 +52,12 @@ def pieces(text: str, most: int, overlap: int, fill: float = 0.5) -> list[tuple[
 
     Every piece has at most ``most`` code points; each but the first begins with
     the last ``overlap`` code points of the one before. A cut is searched
-    among piece lengths from ``fill * most`` (more than the overlap) to ``most``;
-    without any boundary there the piece has the full length, but a CR LF pair
-    is not parted.
+    among piece lengths from ``fill * most`` (more than the overlap) to ``most``.
+    Where no sentence end or stronger boundary stands there, one among the
+    shorter lengths (more than the overlap) comes before a clause end or space of
+    that part; clause ends and spaces of the shorter lengths come before no
+    boundary at all. Without any the piece has the full length, but a CR LF
+    pair is not parted.
     """
     n = len(text)
     if n <= most:
@@ -67,9 +75,14 @@ def pieces(text: str, most: int, overlap: int, fill: float = 0.5) -> list[tuple[
     out, start = [], 0
     while n - start > most:
         low, high = start + max(overlap + 1, int(fill * most)), start + most
-        i, j = np.searchsorted(spots, [low, high + 1])
-        if i < j:
-            end = best.over(int(i), int(j)) % (n + 1)
+        first, i, j = map(int, np.searchsorted(spots, [start + overlap + 1, low, high + 1]))
+        upper = best.over(i, j) if i < j else 0
+        if upper < _NATURAL * (n + 1) and first < j:
+            whole = best.over(first, j)
+            if not upper or whole >= _NATURAL * (n + 1):
+                upper = whole
+        if upper:
+            end = upper % (n + 1)
         else:
             end = high - (text[high - 1 : high + 1] == "\r\n" and high - 1 - start > overlap)
         out.append((start, end))
