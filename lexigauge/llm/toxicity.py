@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: Labelled documents of each kind that train the models, rounds of reassignment, tokens of a window, and the score from which a document counts.
 TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 6000, 3, 6, 1.75
 
+#: Documents that the weight of a pair of tokens as typical of abuse is shrunk by.
+PRIOR = 1
+
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝӏкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινκρτυχ", "aeopcyxijshdqwlkmtbnabezhikmnoptyxaoivkptux")
 #: Digits and signs written for letters.
@@ -223,11 +226,11 @@ def fitted(abusive: list[str], ordinary: list[str]) -> Model:
     def spreads(docs: list[list[list[int]]]) -> Counter:
         return Counter(g for d in docs for g in {g for row in d for g in pairs(row)})
 
-    # Pairs of tokens that stand in a larger share of the documents labelled abusive than of the others.
+    # Pairs of tokens that stand in a larger share of the documents labelled abusive than of the others weigh
+    # by their documents in excess of four times the share of the others: the fewer, the less, by one rule at every size.
     high, low, ratio = spreads(held), spreads(usual), max(1, len(usual)) / max(1, len(held))
-    few = len(held) < 200
-    typical = {g for g, n in high.items() if (n > 1 and n * ratio > 4 * (low[g] + 0.5)) or (few and not low[g])}
-    share = lambda row: sum(g in typical for g in pairs(row)) / max(3, len(row) - 1)
+    typical = {g: more / (n + PRIOR) for g, n in high.items() if (more := n - 4 * low[g] / ratio) > 0}
+    share = lambda row: sum(typical.get(g, 0.0) for g in pairs(row)) / max(3, len(row) - 1)
     chosen = [row for d in held if d and share(row := max(d, key=share)) > 0.4] + own
     usual = [row for d in usual for row in d]
     near = [i for i, row in enumerate(usual) if share(row) > 0.25]
