@@ -17,6 +17,8 @@ from ..sources.tables import cut, drop_cut
 LARGE_PARTS = 256
 #: Hash slots of the smaller sets in each stratum: the grain of the shares.
 SLOTS = 4096
+#: Rounds at most in which the splits' factors are fitted to the shares of the whole.
+ROUNDS = 20
 
 
 def _set_key(component: Column, row_id: Column) -> Column:
@@ -96,9 +98,11 @@ def assign_splits(observations: DataFrame, documents: DataFrame, targets: DataFr
     Shares come from ``targets`` (``split``, ``share``; at most 100 rows, shares are
     scaled to sum 1). The stratum of a set is its most frequent pair of source and condition.
     Sets with at least 1 / ``LARGE_PARTS`` of all rows are placed one by one,
-    largest first, where the stratified deficit is greatest; the others fall into
-    hash slots of their stratum, and the slots are dealt so that each stratum's
-    shares, with the large sets counted in, come out as given. Null ids are left out.
+    largest first, where they fit and the deficit in the strata of their rows is
+    greatest; the others fall into hash slots of their stratum, and the slots are
+    dealt so that each stratum's shares, with the large sets' rows in it counted in,
+    come out as given. Where large sets alone exceed a share of a stratum, the
+    others make up for it, so that the shares of the whole hold. Null ids are left out.
     """
     shares = [(r.split, float(r.share)) for r in targets.where("split is not null and share > 0").orderBy("split").limit(101).collect()]
     if not shares or len(shares) > 100:
@@ -114,31 +118,61 @@ def assign_splits(observations: DataFrame, documents: DataFrame, targets: DataFr
     total = per_root.agg(F.sum("n")).first()[0] or 0
 
     large = per_root.where(F.col("n") * LARGE_PARTS >= F.lit(max(total, 1))).orderBy(F.desc("n"), "root").collect()
+    spark = observations.sparkSession
+    counts = cut(counts, "counts")
+    held: dict[str, dict[str, int]] = {}
+    for r in counts.join(F.broadcast(spark.createDataFrame([(r.root,) for r in large], "root string")), "root").collect():
+        held.setdefault(r.root, {})[r.label] = r.n
+    labels = spark.createDataFrame([(x,) for x in sorted({x for own in held.values() for x in own})], "label string")
+    all_of = {r.label: r.n for r in counts.join(F.broadcast(labels), "label").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     placed: dict[str, int] = dict.fromkeys((name for name, _ in shares), 0)
-    by_stratum: dict[tuple[str, str], int] = {}
+    by_label: dict[tuple[str, str], int] = {}
     chosen = []
     for r in large:
-        name = max(shares, key=lambda s: (s[1] * total - placed[s[0]] >= r.n, s[1] * total - placed[s[0]] - by_stratum.get((r.stratum, s[0]), 0) * 1e-3))[0]
+        own = held[r.root]
+
+        def wish(s: tuple[str, float]) -> tuple[bool, float]:
+            whole = s[1] * total - placed[s[0]]
+            if whole < r.n:
+                return False, whole
+            return True, sum(n * (s[1] * all_of[x] - by_label.get((x, s[0]), 0)) for x, n in own.items()) / r.n
+
+        name = max(shares, key=wish)[0]
         placed[name] += r.n
-        by_stratum[r.stratum, name] = by_stratum.get((r.stratum, name), 0) + r.n
+        for x, n in own.items():
+            by_label[x, name] = by_label.get((x, name), 0) + n
         chosen.append((r.root, name))
-    spark = observations.sparkSession
     chosen_df = spark.createDataFrame(chosen, "root string, split string")
 
     small = per_root.join(F.broadcast(chosen_df.select("root")), "root", "left_anti")
     slots = small.groupBy("stratum", "slot").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy("stratum").orderBy("slot")
     sums = slots.select("stratum", "slot", (F.sum("n").over(ordered) - F.col("n") / 2).alias("middle"), F.sum("n").over(Window.partitionBy("stratum")).alias("all"))
-    # What each split still lacks after the large sets, as shares of the small ones.
-    lack = {name: max(0.0, share * total - placed[name]) for name, share in shares}
-    whole = sum(lack.values()) or 1.0
-    reach, split = 0.0, F.lit(shares[-1][0])
-    edges = []
-    for name, _ in shares:
-        reach += lack[name] / whole
-        edges.append((name, reach))
-    for name, edge in reversed(edges[:-1]):
-        split = F.when(F.col("middle") <= F.col("all") * F.lit(edge), F.lit(name)).otherwise(split)
+    # What each split still lacks in each stratum after the large sets' rows there; its factor makes up in the other strata for what one has too much of.
+    taken = spark.createDataFrame([(x, [by_label.get((x, name), 0) for name, _ in shares]) for x in all_of], "stratum string, taken array<long>")
+    strata = counts.groupBy(F.col("label").alias("stratum")).agg(F.sum("n").alias("rows")).join(F.broadcast(taken), "stratum", "left")
+    lacks = [F.greatest(F.lit(0.0), F.lit(share) * F.col("rows") - F.coalesce(F.col("taken")[k], F.lit(0))) for k, (_, share) in enumerate(shares)]
+    strata = cut(small.groupBy("stratum").agg(F.sum("n").alias("small")).join(strata.select("stratum", F.array(*lacks).alias("lack")), "stratum"), "strata")
+
+    def weights(factors: list[float]) -> list[Column]:
+        return [F.col("lack")[k] * F.lit(f) for k, f in enumerate(factors)]
+
+    lack = [max(0.0, share * total - placed[name]) for name, share in shares]
+    rest = (total - sum(r.n for r in large)) / (sum(lack) or 1.0)
+    factors = [1.0] * len(shares)
+    for _ in range(ROUNDS):
+        own = weights(factors)
+        got = strata.agg(*(F.sum(F.col("small") * w / sum(own, F.lit(0.0))).alias(f"w{k}") for k, w in enumerate(own))).first()
+        got = [x or 0.0 for x in got]
+        if all(abs(x - y * rest) <= total / SLOTS for x, y in zip(got, lack)):
+            break
+        factors = [min(1e9, max(1e-9, f * y * rest / x)) if x else f for f, x, y in zip(factors, got, lack)]
+    own = weights(factors)
+    edged = strata.select("stratum", F.array(*(sum(own[: k + 1], F.lit(0.0)) / sum(own, F.lit(0.0)) for k in range(len(own)))).alias("edges"))
+    sums = sums.join(edged, "stratum")
+    split = F.lit(shares[-1][0])
+    for k, (name, _) in reversed(list(enumerate(shares[:-1]))):
+        split = F.when(F.col("middle") <= F.col("all") * F.col("edges")[k], F.lit(name)).otherwise(split)
     dealt = small.join(sums.select("stratum", "slot", split.alias("split")), ["stratum", "slot"]).select("root", "split")
     by_root = dealt.unionByName(chosen_df)
     members = rows.join(sets, "set", "left").select("id", F.coalesce("root", "set").alias("root"))
