@@ -2,16 +2,18 @@
 
 Two Kneser-Ney models, of abusive and of ordinary passages, are trained from a
 bounded sample of the labelled documents. Which passages of a document labelled
-abusive are so is not known, so passages are reassigned by the models
-themselves for some rounds. A document's score is the greatest length-normalised
-difference of the two log-likelihoods over its passages, however spelled.
+abusive are so is not known: those whose pairs of tokens other such documents
+favour start, then for some rounds models fitted without a document choose its
+passages. The same held-out scores give the difference from which a document counts.
+A document's score is the greatest length-normalised difference of the two
+log-likelihoods over its passages, however spelled.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,11 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents of each kind that train the models, rounds of reassignment, tokens of a window, and the score from which a document counts.
-TRAINING_DOCUMENTS, ROUNDS, WINDOW, THRESHOLD = 6000, 3, 6, 1.75
-
-#: Documents that the weight of a pair of tokens as typical of abuse is shrunk by.
-PRIOR = 1
+#: Labelled documents of each kind that train the models, and code points of each kind's texts at most.
+TRAINING_DOCUMENTS, TRAINING_CODE_POINTS = 6000, 20_000_000
+#: Parts of the labelled documents that are held out in turn, rounds in which passages are chosen, tokens of a window.
+FOLDS, ROUNDS, WINDOW = 3, 2, 6
+#: The share of ordinary documents whose best passage may look as abusive as a passage that is chosen.
+CHANCE = 0.02
+#: The score from which a document counts: scores are in units of the difference that held-out labels part best.
+THRESHOLD = 1.0
+#: Tokens that are scored at a time.
+BATCH = 200_000
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝӏкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινκρτυχ", "aeopcyxijshdqwlkmtbnabezhikmnoptyxaoivkptux")
@@ -40,91 +47,166 @@ _PARTED = re.compile(rf"(?<=[{_HAN}])[ *_.·\-]+(?=[{_HAN}])")
 _MASKED = re.compile(r"(?<![\w*])[a-zà-ÿ]+\*{2,}[a-zà-ÿ]*(?![\w*])")
 _HAN_ANY = re.compile(f"[{_HAN}]")
 _ENDS = frozenset(".!?。！？．।؟\n\r")
-_TOKENS = re.compile(rf"[{_HAN}]|[^\W_{_HAN}@$+|](?:[^\W_{_HAN}]|[@$+|\u0300-\u036f\u064b-\u065f\u0900-\u0dff\u0e31-\u0e4e])*|[@$+|]+[^\W_{_HAN}](?:[^\W_{_HAN}]|[@$+|])*|\x01|[.!?。！？．।؟\n\r]")
-
-#: A few plain examples of abuse, so that tables with hardly any label give a model; they count like passages of the labelled documents.
-EXAMPLES = (
-    "you are a stupid idiot", "you worthless piece of garbage", "shut your mouth you moron", "go and kill yourself", "i will find you and kill you",
-    "i will beat you up", "those people are vermin", "they are subhuman filth and should be driven out", "he fucked her on the bed", "send me your nude pictures",
-    "du bist ein idiot", "halt die fresse du arschloch", "ich bringe dich um", "dieses pack ist ungeziefer", "tu es un imbécile", "ferme ta gueule connard",
-    "je vais te tuer", "ces gens sont de la vermine", "eres un idiota", "cállate gilipollas", "te voy a matar", "esa gente es basura", "你是个白痴", "去死吧废物",
-    "what a bitch", "she is a whore and a slut", "you filthy scum", "you bastard", "what an asshole", "he is a cretin and a halfwit", "you dumb loser", "that fucking cunt",
-    "so ein trottel", "du dummer depp", "du wichser", "diese schlampe ist eine hure", "so ein dreckiges schwein", "espèce de salope", "sale ordure", "pauvre minable", "quel crétin", "fils de pute",
-    "qué imbécil", "maldito cabrón", "hijo de puta", "estúpida zorra", "escoria y alimañas", "你这个傻逼", "混蛋王八蛋", "贱人婊子", "人渣脑残", "このアホが", "ブスのくせに", "クズ野郎", "我要杀了你", "他们都是害虫", "お前は馬鹿だ", "死ねクズ", "お前を殺す", "あいつらは害虫だ",
+_THAI = "ก-ฺเ-๎"
+_TOKENS = re.compile(
+    rf"[{_HAN}]|\x02[^\W\d_]+|[เ-ไ]?[ก-ฮ][ะ-ฺๅ-๎]*|[^\W_{_HAN}{_THAI}@$+|](?:[^\W_{_HAN}{_THAI}]|[@$+|̀-ًͯ-ٟऀ-෿])*"
+    rf"|[@$+|]+[^\W_{_HAN}](?:[^\W_{_HAN}]|[@$+|])*|\x01|[.!?。！？．।؟\n\r]"
 )
 
 
+
 def _word(raw: str) -> str:
     """One token with look-alike letters, letters written as signs and drawn-out letters undone; a number is "0"."""
     if raw.isdigit():
         return "0"
+    raw = raw.lstrip("\x02")
     word = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), raw)
     word = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), word)
     return _LONG.sub(r"\1", word.strip("@$+|"))
 
 
 def tokens(text: str) -> list[str]:
-    """Raw tokens of the whole text, with spaced, parted and masked words undone; "\\n" ends a passage."""
-    text = unicodedata.normalize("NFKC", _FORMAT.sub("", text)).lower()
+    """Raw tokens of the whole text, with spaced (after a mark), parted and masked words undone; "\\n" ends a passage."""
+    text = _FORMAT.sub("", text)
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
     if _HAN_ANY.search(text):
         text = _PARTED.sub("", text)
     if "**" in text:
         text = _MASKED.sub(" \x01 ", text)
     if "_" in text:
         text = text.replace("_", " ")
-    return _TOKENS.findall(_SPACED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), text))
-
-
-def passages(text: str) -> list[list[str]]:
-    """The tokens of each passage; numbers are "0", a masked word is one token."""
-    out, now = [], []
-    for raw in [*tokens(text), "\n"]:
-        if raw[0] in _ENDS:
-            if len(now) > 1:
-                out.append(now)
-            now = []
-        elif word := _word(raw):
-            now.append(word)
-    return out
+    return _TOKENS.findall(_SPACED.sub(lambda m: "\x02" + "".join(c for c in m[0] if c.isalpha()), text))
+
+
+class _Words(dict):
+    """Tokens with disguises undone by raw token; "\n" ends a passage."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        word = self[raw] = "\n" if raw[0] in _ENDS else _word(raw)
+        return word
+
+
+_words = _Words()
+
+
+def plain(text: str) -> str:
+    """The tokens of a text, disguises undone, one space between them; a line for each passage."""
+    return re.sub(r"(?: ?\n ?)+", "\n", " ".join(map(_words.__getitem__, tokens(text)))).strip("\n")
+
+
+class _Stream:
+    """Token numbers of passages, one after another, with the document of each passage."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, docs: np.ndarray):
+        self.ids, self.starts, self.docs = ids, starts, docs
+        self.sizes = np.diff(np.append(starts, len(ids)))
+
+    @classmethod
+    def of(cls, marked: np.ndarray, ends: np.ndarray) -> _Stream:
+        """From numbers with -1 after each passage, and the places where documents end."""
+        stop = marked < 0
+        first = np.flatnonzero(~stop & np.concatenate([[True], stop[:-1]]) if len(marked) else stop)
+        return cls(marked[~stop], (np.cumsum(~stop) - 1)[first], np.searchsorted(ends, first, side="right"))
+
+    def part(self, keep: np.ndarray) -> _Stream:
+        """The passages for which ``keep`` holds."""
+        sizes = self.sizes[keep]
+        return _Stream(self.ids[np.repeat(keep, self.sizes)], np.cumsum(sizes) - sizes, self.docs[keep])
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens two and one before each token; 1 where the passage has none."""
+        b = np.concatenate([[1], self.ids[:-1]])[: len(self.ids)]
+        b[self.starts] = 1
+        a = np.concatenate([[1], b[:-1]])[: len(self.ids)]
+        a[self.starts] = 1
+        return a, b
+
+    def best(self, values: np.ndarray) -> np.ndarray:
+        """For each passage the greatest mean of ``values`` over windows of ``WINDOW`` tokens; a shorter one counts as at least 4."""
+        if not len(self.starts):
+            return np.zeros(0)
+        short = np.add.reduceat(values, self.starts) / np.maximum(4, self.sizes)
+        padded = np.concatenate([values, np.zeros(WINDOW)])
+        sums = sum(padded[k : k + len(values)] for k in range(WINDOW))
+        sums[np.arange(len(values)) + WINDOW > np.repeat(self.starts + self.sizes, self.sizes)] = -np.inf
+        return np.where(self.sizes > WINDOW, np.maximum.reduceat(sums, self.starts) / WINDOW, short)
+
+    def by_document(self, best: np.ndarray, n: int) -> np.ndarray:
+        """The greatest of a document's passages, 0 at least."""
+        out = np.zeros(n)
+        np.maximum.at(out, self.docs, best)
+        return out
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney trigrams over token numbers; 0 is the unknown token, 1 the start."""
-
-    def __init__(self, size: int, discount: float = 0.75):
-        self.size, self.discount = size, discount
-        self.counts = [Counter(), Counter(), Counter()]
-
-    def fit(self, rows: list[list[int]]) -> KneserNey:
-        third = Counter()
-        for row in rows:
-            whole = [1, 1, *row]
-            third.update(zip(whole, whole[1:], whole[2:]))
-        second = Counter((b, c) for _, b, c in third)
-        self.counts = [Counter(c for _, c in second), second, third]
-        self.sums = [sum(self.counts[0].values()), Counter(), Counter()]
-        self.kinds = [len(self.counts[0]), Counter(), Counter()]
-        for (b, _), n in second.items():
-            self.sums[1][b] += n
-            self.kinds[1][b] += 1
-        for (a, b, _), n in third.items():
-            self.sums[2][a, b] += n
-            self.kinds[2][a, b] += 1
-        return self
-
-    def pair(self, b: int, c: int) -> float:
-        """The probability of ``c`` after ``b`` when nothing more is known."""
-        d, one = self.discount, self.sums[0]
-        if not one:
-            return 1 / self.size
-        p = (max(self.counts[0][c] - d, 0) + d * self.kinds[0] / self.size) / one
-        total = self.sums[1].get(b)
-        return (max(self.counts[1].get((b, c), 0) - d, 0) + d * self.kinds[1][b] * p) / total if total else p
-
-    def logp(self, a: int, b: int, c: int) -> float:
-        d, p = self.discount, self.pair(b, c)
-        total = self.sums[2].get((a, b))
-        return math.log((max(self.counts[2].get((a, b, c), 0) - d, 0) + d * self.kinds[2][a, b] * p) / total if total else p)
+    """Interpolated Kneser-Ney trigrams over token numbers below ``size``; 0 is the unknown token, 1 the start."""
+
+    def __init__(self, stream: _Stream, size: int, discount: float = 0.75):
+        a, b = stream.before()
+        self.triples, n = np.unique((a * size + b) * size + stream.ids, return_counts=True)
+        self.pairs, kinds = np.unique(self.triples % (size * size), return_counts=True)
+        ones = np.bincount(self.pairs % size, minlength=size)
+        whole = ones.sum()
+        self.one = (np.maximum(ones - discount, 0) + discount * np.count_nonzero(ones) / size) / whole if whole else np.full(size, 1 / size)
+        # After a token: the discounted share of each pair, and what is left to the shorter context (all where nothing is known).
+        first = self.pairs // size
+        sums = np.bincount(first, weights=kinds, minlength=size)
+        self.pair_share = (kinds - discount) / sums[first]
+        self.pair_rest = np.where(sums > 0, discount * np.bincount(first, minlength=size) / np.maximum(sums, 1), 1.0)
+        # The same after two tokens.
+        self.contexts, at, where, spread = np.unique(self.triples // size, return_index=True, return_inverse=True, return_counts=True)
+        sums = np.add.reduceat(n, at) if len(at) else np.zeros(0)
+        self.triple_share = (n - discount) / sums[where]
+        self.triple_rest = discount * spread / sums
+
+
+def _spread(keys: np.ndarray, own: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+    """``values`` of ``own`` at their places in the sorted ``keys``, and a last place for what is in none."""
+    out = np.full(len(keys) + 1, missing)
+    out[np.searchsorted(keys, own)] = values
+    return out
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` stands in the sorted ``keys``; their number where it does not."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, at, len(keys))
+
+
+class Scorer:
+    """The two models over one table of n-grams."""
+
+    def __init__(self, abusive: KneserNey, ordinary: KneserNey):
+        both = (abusive, ordinary)
+        self.size = len(abusive.one)
+        self.pairs = np.union1d(np.union1d(abusive.pairs, ordinary.pairs), np.union1d(abusive.contexts, ordinary.contexts))
+        self.triples = np.union1d(abusive.triples, ordinary.triples)
+        self.one = [m.one for m in both]
+        self.pair_rest = [m.pair_rest for m in both]
+        self.pair_share = [_spread(self.pairs, m.pairs, m.pair_share, 0.0) for m in both]
+        self.triple_rest = [_spread(self.pairs, m.contexts, m.triple_rest, 1.0) for m in both]
+        self.triple_share = [_spread(self.triples, m.triples, m.triple_share, 0.0) for m in both]
+
+    def differences(self, stream: _Stream) -> np.ndarray:
+        """Abusive less ordinary log-probability of every token."""
+        (a, b), c, size = stream.before(), stream.ids, self.size
+        pair, context = _places(self.pairs, b * size + c), _places(self.pairs, a * size + b)
+        triple = np.full(len(c), len(self.triples))
+        known = np.flatnonzero((context < len(self.pairs)) & (pair < len(self.pairs)))
+        triple[known] = _places(self.triples, (a[known] * size + b[known]) * size + c[known])
+        p = [
+            self.triple_share[k][triple] + self.triple_rest[k][context] * (self.pair_share[k][pair] + self.pair_rest[k][b] * self.one[k][c])
+            for k in range(2)
+        ]
+        return np.log(p[0] / p[1])
+
+    def best(self, stream: _Stream) -> np.ndarray:
+        return stream.best(self.differences(stream))
 
 
 class _Numbers(dict):
@@ -136,6 +218,9 @@ class _Numbers(dict):
 
     def __missing__(self, raw: str) -> int:
         word = _word(raw)
+        if raw[0] == "\x02" and word not in self.vocabulary and word[1:] in self.vocabulary:
+            # A word of one letter stood before the spaced one.
+            word = word[1:]
         number = -1 if raw[0] in _ENDS else self.vocabulary.get(word, 0) if word else -2
         if len(self) > 1_000_000:
             self.clear()
@@ -143,137 +228,172 @@ class _Numbers(dict):
         return number
 
 
-class _Differences(dict):
-    """Differences of the two models' log-probabilities by trigram; of pairs where no model knows the two tokens before."""
-
-    def __init__(self, abusive: KneserNey, ordinary: KneserNey):
-        super().__init__()
-        self.abusive, self.ordinary, self.pairs = abusive, ordinary, {}
-        self.contexts = (set(abusive.sums[2]) | set(ordinary.sums[2])) if abusive.sums[0] or ordinary.sums[0] else set()
-
-    def __missing__(self, key: tuple[int, int, int]) -> float:
-        a, b, c = key
-        if (a, b) not in self.contexts:
-            value = self.pairs.get((b, c))
-            if value is None:
-                if len(self.pairs) > 1_000_000:
-                    self.pairs.clear()
-                value = self.pairs[b, c] = math.log(self.abusive.pair(b, c) / self.ordinary.pair(b, c))
-            return value
-        value = self.abusive.logp(a, b, c) - self.ordinary.logp(a, b, c)
-        if len(self) > 1_000_000:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Model:
-    """The two models and the vocabulary, with the numbers and differences seen before."""
+    """The two models, the vocabulary, the difference that is a score of 1, and how held-out labels fare with it."""
 
-    def __init__(self, vocabulary: dict[str, int], abusive: KneserNey, ordinary: KneserNey):
-        self.vocabulary, self.abusive, self.ordinary = vocabulary, abusive, ordinary
-        self.known, self.numbers = _Differences(abusive, ordinary), _Numbers(vocabulary)
+    def __init__(self, vocabulary: dict[str, int], scorer: Scorer | None, threshold: float = np.inf, precision: float | None = None, recall: float | None = None):
+        self.vocabulary, self.scorer, self.threshold, self.precision, self.recall = vocabulary, scorer, threshold, precision, recall
+        self.numbers = _Numbers(vocabulary)
 
     def __reduce__(self):
-        return Model, (self.vocabulary, self.abusive, self.ordinary)
-
-    def differences(self, row: list[int]) -> list[float]:
-        known, whole = self.known, [1, 1, *row]
-        return [known[k] for k in zip(whole, whole[1:], row)]
-
-    def best(self, row: list[int]) -> float:
-        """The greatest mean difference over windows of ``WINDOW`` tokens; a shorter passage counts as at least 4."""
-        values = self.differences(row)
-        if len(values) <= WINDOW:
-            return sum(values) / max(4, len(values))
-        now = top = sum(values[:WINDOW])
-        for gone, new in zip(values, values[WINDOW:]):
-            now += new - gone
-            if now > top:
-                top = now
-        return top / WINDOW
-
-    def passage_score(self, words: list[str]) -> float:
-        return self.best([self.vocabulary.get(t, 0) for t in words])
+        return Model, (self.vocabulary, self.scorer, self.threshold, self.precision, self.recall)
+
+    def scores(self, texts: list[str | None]) -> list[float | None]:
+        """The greatest difference of a passage of each text in units of the threshold, 0 at least; null for null."""
+        out: list[float | None] = []
+        ids, ends, numbers = array("q"), [], self.numbers.__getitem__
+
+        def flush() -> None:
+            marked = np.frombuffer(ids, np.int64) if ids else np.zeros(0, np.int64)
+            # A document's end moves back by the signs before it that are nothing.
+            nothing = marked == -2
+            at = np.asarray(ends, np.int64)
+            at = at - np.concatenate([[0], np.cumsum(nothing)])[at] if len(at) else at
+            stream = _Stream.of(marked[~nothing], at)
+            found = stream.by_document(self.scorer.best(stream) if self.scorer and len(stream.ids) else np.zeros(len(stream.starts)), len(ends))
+            out.extend((found / self.threshold).tolist())
+
+        for text in texts:
+            if text:
+                ids.extend(map(numbers, tokens(text)))
+            ids.append(-1)
+            ends.append(len(ids))
+            if len(ids) > BATCH:
+                flush()
+                ids, ends = array("q"), []
+        flush()
+        return [None if t is None else s for t, s in zip(texts, out)]
 
     def score(self, text: str) -> float:
-        """The greatest score of a passage; 0 at least."""
-        numbers, row, top = self.numbers, [], 0.0
-        for raw in tokens(text):
-            n = numbers[raw]
-            if n >= 0:
-                row.append(n)
-            elif n == -1 and row:
-                if len(row) > 1:
-                    top = max(top, self.best(row))
-                row = []
-        return max(top, self.best(row)) if len(row) > 1 else top
+        return self.scores([text])[0]
+
+
+def _pair_weights(pairs: np.ndarray, docs: np.ndarray, abusive: np.ndarray) -> np.ndarray:
+    """For each pair of tokens in a document, how surely other documents labelled abusive favour it over the ordinary ones.
+
+    That is the log-likelihood ratio of its shares of documents of either kind, the document itself left out.
+    """
+    _, pairs = np.unique(pairs, return_inverse=True)
+    seen = np.unique(docs * (pairs.max(initial=0) + 1) + pairs)
+    of, doc = seen % (pairs.max(initial=0) + 1), seen // (pairs.max(initial=0) + 1)
+    high, low = (np.bincount(of[abusive[doc] == kind], minlength=pairs.max(initial=0) + 1) for kind in (True, False))
+    bad = abusive[docs]
+    n, m, every, rest = high[pairs] - bad, low[pairs] - ~bad, abusive.sum() - bad, (~abusive).sum() - ~bad
+    pooled = (n + m) / np.maximum(1, every + rest)
+
+    def surplus(k: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(total * pooled, 1e-12)), 0.0)
+
+    return np.where(n * rest > m * every, np.maximum(0.0, surplus(n, every) + surplus(m, rest)), 0.0)
+
+
+def _cut(scores: np.ndarray, abusive: np.ndarray) -> tuple[float, float, float, float]:
+    """(middle, greatest, precision, recall) of the thresholds whose F1 is within a hundredth of the best; the last two are the middle's."""
+    values = np.unique(np.append(scores, 0.0))
+    good, bad = np.sort(scores[abusive]), np.sort(scores[~abusive])
+    # A threshold above one value and up to the next tells the same documents.
+    true, false = len(good) - np.searchsorted(good, values[1:]), len(bad) - np.searchsorted(bad, values[1:])
+    f1 = 2 * true / (len(good) + true + false)
+    if not true.any():
+        return np.inf, np.inf, 0.0, 0.0
+    near = np.flatnonzero(f1 >= f1.max() * 0.99)
+    middle, greatest = (values[near[0]] + values[near[-1] + 1]) / 2, values[near[-1] + 1]
+    true, false = int((good >= middle).sum()), int((bad >= middle).sum())
+    return float(middle), float(greatest), true / max(1, true + false), true / len(good)
 
 
 def fitted(abusive: list[str], ordinary: list[str]) -> Model:
-    """Models from texts labelled as a whole."""
-    held, usual = [passages(t) for t in abusive], [passages(t) for t in ordinary]
-    own = [p for t in EXAMPLES for p in passages(t)]
-    spread = Counter(t for doc in (*usual, *held, own, own, own) for t in {x for p in doc for x in p})
-    for p in own:
-        spread.update(dict.fromkeys(p, 3))
+    """A model from texts labelled as a whole."""
+    return _fitted([plain(t) for t in abusive], [plain(t) for t in ordinary])
+
+
+def _fitted(held: list[str], usual: list[str]) -> Model:
+    """A model from :func:`plain` texts; without texts of both kinds every score is 0."""
+    rows = [*held, *usual]
+    spread = Counter(t for row in rows for t in set(row.split()))
     vocabulary = {t: i + 2 for i, t in enumerate(sorted(t for t, n in spread.items() if n > 2))}
+    flags = np.arange(len(rows)) < len(held)
+    if not held or not usual:
+        return Model(vocabulary, None)
     size, number = len(vocabulary) + 2, vocabulary.get
-    numbers = lambda rows: [[number(t, 0) for t in p] for p in rows]
-    held, usual, own = [numbers(d) for d in held], [numbers(d) for d in usual], numbers(own)
-    pairs = lambda row: zip(row, row[1:])
-
-    def spreads(docs: list[list[list[int]]]) -> Counter:
-        return Counter(g for d in docs for g in {g for row in d for g in pairs(row)})
-
-    # Pairs of tokens that stand in a larger share of the documents labelled abusive than of the others weigh
-    # by their documents in excess of four times the share of the others: the fewer, the less, by one rule at every size.
-    high, low, ratio = spreads(held), spreads(usual), max(1, len(usual)) / max(1, len(held))
-    typical = {g: more / (n + PRIOR) for g, n in high.items() if (more := n - 4 * low[g] / ratio) > 0}
-    share = lambda row: sum(typical.get(g, 0.0) for g in pairs(row)) / max(3, len(row) - 1)
-    chosen = [row for d in held if d and share(row := max(d, key=share)) > 0.4] + own
-    usual = [row for d in usual for row in d]
-    near = [i for i, row in enumerate(usual) if share(row) > 0.25]
-    plain_rest = [row for d in held for row in d if share(row) < 0.25]
-    usual_model = KneserNey(size).fit(usual)
+    marked = array("q")
+    ends = []
+    for row in rows:
+        for line in row.split("\n"):
+            marked.extend(number(t, 0) for t in line.split())
+            marked.append(-1)
+        ends.append(len(marked))
+    stream = _Stream.of(np.frombuffer(marked, np.int64), np.asarray(ends))
+    bad, own_fold = flags[stream.docs], stream.docs % FOLDS
+    _, before = stream.before()
+    weights = _pair_weights(before * size + stream.ids, np.repeat(stream.docs, stream.sizes), flags)
+    best = stream.best(weights)
+    ordinary = ~bad
     for _ in range(ROUNDS):
-        model = Model(vocabulary, KneserNey(size).fit(chosen), usual_model)
-        chosen = list(own)
-        for d in held:
-            # The best window must be abusive, and what makes it so typical of documents labelled abusive; failing that, the most abusive passage will do.
-            found = [row for row in d if share(row) > 0.25 and model.best(row) > 1.0]
-            if not found and d and model.best(row := max(d, key=model.best)) > 0.3:
-                found = [row]
-            chosen += found
-    gone = {i for i in near if model.best(usual[i]) > 1.0}
-    kept = [row for i, row in enumerate(usual) if i not in gone] + [row for row in plain_rest if model.best(row) <= 0]
-    return Model(vocabulary, KneserNey(size).fit(chosen), KneserNey(size).fit(kept))
-
-
-def trained(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
+        # A passage is chosen if few ordinary documents have one that looks as abusive.
+        top = np.full(len(flags), -np.inf)
+        np.maximum.at(top, stream.docs, best)
+        chosen = bad & (best > np.quantile(top[~flags], 1 - CHANCE, method="lower"))
+        if not chosen.any():
+            chosen = bad & (best >= best[bad].max(initial=-np.inf))
+        best = np.zeros(len(best))
+        for out in range(FOLDS):
+            own = own_fold == out
+            scorer = Scorer(KneserNey(stream.part(chosen & ~own), size), KneserNey(stream.part(ordinary & ~own), size))
+            best[own] = scorer.best(stream.part(own))
+        threshold, sure, precision, recall = _cut(stream.by_document(best, len(flags)), flags)
+        # Ordinary documents too are labelled wrongly now and then: what held-out models surely find abusive teaches nothing.
+        ordinary = ~bad & (best < sure)
+    scorer = Scorer(KneserNey(stream.part(chosen), size), KneserNey(stream.part(ordinary), size))
+    if threshold == np.inf:
+        # Too few labels for any to be told when held out: the models' own documents tell.
+        threshold = _cut(stream.by_document(scorer.best(stream), len(flags)), flags)[0]
+    return Model(vocabulary, scorer, threshold if threshold < np.inf else 1.0, precision, recall)
+
+
+def trained(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCUMENTS, most: int = TRAINING_CODE_POINTS) -> Model:
     """A model from at most ``limit`` documents labelled abusive and as many others, chosen by hash.
 
-    A document is abusive when more than half of its raters say so; repeated
-    labels of one rater count once, null ones not.
+    Of either kind texts of at most ``most`` code points together are taken, in
+    the order of the hash; one that no longer fits is passed over. A document is
+    abusive when more than half of its raters say so; repeated labels of one
+    rater count once, null ones not.
     """
     votes = labels.where("toxic is not null and doc_id is not null").select("doc_id", "rater_id", "toxic").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("share"))
-    votes = votes.select("doc_id", (F.col("share") > 0.5).alias("abusive"))
+    votes = votes.select("doc_id", (F.col("share") > 0.5).alias("abusive"), F.xxhash64("doc_id").alias("place"))
     chosen = None
     for kind in (True, False):
-        part = votes.where(F.col("abusive") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        part = votes.where(F.col("abusive") == kind).orderBy("place", "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fitted([r.text for r in rows if r.abusive], [r.text for r in rows if not r.abusive])
+    own = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    sizes = own.select("doc_id", "abusive", "place", F.length("text").alias("n")).dropDuplicates(["doc_id"]).collect()
+    left, taken = {True: most, False: most}, []
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if r.n <= left[r.abusive]:
+            left[r.abusive] -= r.n
+            taken.append((r.doc_id,))
+    if not taken:
+        return _fitted([], [])
+    wanted = documents.sparkSession.createDataFrame(taken, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["text"] = [plain(t) for t in frame["text"]]
+            yield frame
+
+    own = own.join(F.broadcast(wanted), "doc_id")
+    rows = own.mapInPandas(run, own.schema).collect()
+    rows.sort(key=lambda r: (r.place, r.doc_id, r.text))
+    return _fitted([r.text for r in rows if r.abusive], [r.text for r in rows if not r.abusive])
 
 
 def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, source, score, abusive)`` for every row of ``documents``.
 
-    The score is the greatest length-normalised log-likelihood difference over the text's passages, 0 at least;
-    a null text has a null score and is not abusive, an empty one scores 0. The whole
+    The score is the greatest length-normalised log-likelihood difference over the text's passages, 0 at least,
+    in units of the one that parts held-out labels best (``THRESHOLD`` is 1); a null text has a null score and is not abusive, an empty one scores 0. The whole
     text counts, however long; repeated rows stay as they are, and other columns are not read.
-    Without any label only the built-in examples tell abuse.
+    Without documents labelled abusive and others every score is 0 and none counts as abusive.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model or trained(documents, labels))
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -281,7 +401,7 @@ def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for frame in frames:
-            found = [None if t is None else own.score(t) for t in frame["text"]]
+            found = own.scores([t if isinstance(t, str) else None for t in frame["text"]])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "score": pd.array(found, "Float64"), "abusive": [s is not None and s >= THRESHOLD for s in found]})
 
     return documents.select("doc_id", "source", "text").mapInPandas(run, f"doc_id {kind}, source string, score double, abusive boolean")

@@ -166,7 +166,7 @@ def test_abuse_is_found_however_spelled():
     for t in (*bad, "You are a w o r t h l e s s MORON", "you are a w0rthle5s mоrоn", "shut up you f​i​l​t​h​y pig", "you are a woooorthless m***n"):
         assert model.score(doc() + " " + t + ".") >= toxicity.THRESHOLD, t
     assert model.score("") == 0.0
-    assert toxicity.fitted([], []).score("you are a stupid idiot") > 0
+    assert toxicity.fitted([], []).score("you are a stupid idiot") == 0.0
 
 
 def test_normal_forms_are_whole():

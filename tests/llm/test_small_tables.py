@@ -141,7 +141,9 @@ def test_sentence_units(spark):
 
 def test_abuse_scores(spark):
     labels = spark.createDataFrame([(0, "r", 1, 5), (0, "r", 1, 5), (1, "r", 0, 1), (2, "r", None, 2), (None, "r", 1, 2)], "doc_id long, rater_id string, toxic int, text int")
-    documents = docs(spark, "You are a stupid idiot. The ring is flat.", "The ring is flat.", None, "")
+    more = spark.createDataFrame([(k, "r", k % 2, 3) for k in range(4, 24)], labels.schema)
+    labels = labels.unionByName(more)
+    documents = docs(spark, "You are a stupid idiot. The ring is flat.", "The ring is flat.", None, "", *(["The ring is flat.", "The ring is flat. You are a stupid idiot."] * 10))
     got = {r.doc_id: r for r in scores(documents, labels).collect()}
     assert got[2].score is None and not got[2].abusive and got[3].score == 0 and got[0].score > got[1].score
     assert scores(docs(spark), labels).count() == 0 and scores(documents, labels.limit(0)).where(F.col("score").isNull()).count() == 1
