@@ -1,16 +1,13 @@
 """Problem 1: the same or near-same records across splits.
 
-Evaluation records' n-gram hashes meet the training records' in blocks: in each
-block the evaluation side's rarest n-grams form an index, training records are
-scanned for hits, and for what the hits cannot exclude the containment is
-computed from the whole n-gram sets.
+The n-gram hashes of evaluation and training records are partitioned: of each
+record the least hashes under some hundred orders are taken, four at a time, and
+records that agree in such a four hit each other. For every hit the containment
+of the evaluation record is computed from the whole n-gram sets.
 """
 
 from __future__ import annotations
 
-import math
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,14 +15,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded, known_id
 from ..sources.tables import cut
-from .normal import letters_digits, run_hashes
+from .normal import letters_digits, lettered, run_hashes
 
-#: N-grams of the evaluation and of the training side in one block: bounds a task's memory to some 200 MB.
-EVALUATION_BLOCK, TRAINING_BLOCK = 6_000_000, 2_000_000
-#: Documents from which the order of n-grams (rare ones first) is estimated, and bits of its counters. The order decides speed, never the result.
-ORDER_SAMPLE, ORDER_BITS = 4096, 22
-#: Bits of the sketches that exclude pairs before their n-gram sets are compared.
-SKETCH_BITS = 1024
+#: Least hashes taken together, and how many such fours. Two sets that share a part j of their union miss each other with a
+#: probability of (1 - j ** FOUR) ** BANDS: 2e-7 at 0.68, 1e-4 at 0.6, and meet by chance with one of 4e-4 at 0.05.
+FOUR, BANDS = 4, 64
+#: Rows on one side of a block of a join; keys with more rows are split into blocks that meet each other.
+BLOCK = 2000
+#: A key counts as hot if it holds one of this many parts of all rows, so that the table of hot keys stays small.
+HOT_PARTS = 4096
 
 
 def split_flags(observations: DataFrame) -> DataFrame:
@@ -43,175 +41,181 @@ def split_flags(observations: DataFrame) -> DataFrame:
     ).select("key", "train", "evaluation", F.col("e.s").alias("eval_split"), F.col("e.source").alias("source"))
 
 
-def _order(texts: DataFrame, width: int) -> np.ndarray:
-    """Rounded logarithms of the counts of n-grams over a bounded sample of the texts, by the top bits of the hash."""
-    n = texts.count()
-    every = max(1, math.ceil(n / ORDER_SAMPLE))
-    sample = texts.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).select("plain")
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """Fixed odd factors and masks that each make one order of hashes."""
+    make = np.random.Generator(np.random.PCG64(20240229))
+    return make.integers(0, 1 << 64, FOUR * BANDS, np.uint64) | np.uint64(1), make.integers(0, 1 << 64, FOUR * BANDS, np.uint64)
 
-    def run(frames):
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for frame in frames:
-            for plain in frame["plain"]:
-                np.add.at(counts, (run_hashes(plain, width) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-        yield pd.DataFrame({"ranks": [np.log2(counts + 1.0).astype(np.uint8).tobytes()]})
-
-    (row,) = sample.coalesce(1).mapInPandas(run, "ranks binary").collect() or [None]
-    return np.frombuffer(row.ranks, np.uint8) if row else np.zeros(1 << ORDER_BITS, np.uint8)
-
-
-def _sketches(grams: list[np.ndarray]) -> np.ndarray:
-    """Of each set, the bits that its n-grams' hashes name."""
-    bits = np.zeros((len(grams), SKETCH_BITS), bool)
-    bits[np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams) % SKETCH_BITS] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
-
-
-class _Block:
-    """Index of the rarest n-grams of some evaluation records."""
-
-    def __init__(self, grams: list[np.ndarray], share: float):
-        self.grams, self.share = grams, share
-        self.sizes = np.asarray([len(g) for g in grams], np.int64)
-        self.bits = _sketches(grams)
-        self.fronts = np.asarray([_front(n, share) for n in self.sizes], np.int64)
-        self.lasts = np.asarray([g[f - 1] for g, f in zip(grams, self.fronts)], np.uint64)
-        keys = np.concatenate([g[:f] for g, f in zip(grams, self.fronts)])
-        owner = np.repeat(np.arange(len(grams)), self.fronts)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first = np.unique(keys[order], return_index=True)
-        self.first = np.append(self.first, len(keys))
-        self.owner = owner[order]
-
-    def near(self, others: list[np.ndarray]):
-        """(own index, other's index, n-grams in both) of the pairs with a similarity of at least ``share``."""
-        fronts = np.asarray([_front(len(g), self.share) for g in others], np.int64)
-        probe = np.concatenate([g[:f] for g, f in zip(others, fronts)])
-        who = np.repeat(np.arange(len(others)), fronts)
-        at = np.searchsorted(self.keys, probe)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == probe
-        at, who = at[hit], who[hit]
-        lengths = self.first[at + 1] - self.first[at]
-        if not lengths.sum():
-            return
-        ends = np.cumsum(lengths)
-        spots = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(self.first[at], lengths)
-        cells = np.bincount(np.repeat(who, lengths) * len(self.grams) + self.owner[spots], minlength=len(others) * len(self.grams))
-        full = np.flatnonzero(cells)
-        b, a = np.divmod(full, len(self.grams))
-        sizes = np.asarray([len(g) for g in others], np.int64)
-        lasts = np.asarray([g[f - 1] for g, f in zip(others, fronts)], np.uint64)
-        # All shared n-grams among the front whose last n-gram comes first are among the hits; the rest of that record bounds what is missing.
-        rest = np.where(lasts[b] <= self.lasts[a], sizes[b] - fronts[b], self.sizes[a] - self.fronts[a])
-        needed = np.ceil(self.share / (1 + self.share) * (sizes[b] + self.sizes[a]) - 1e-9)
-        keep = cells[full] + rest >= needed
-        a, b, needed = a[keep], b[keep], needed[keep]
-        # Bits set in one sketch only are n-grams in one set only, or more of them.
-        apart = np.bitwise_count(self.bits[a] ^ _sketches(others)[b]).sum(axis=1, dtype=np.int64)
-        keep = (self.sizes[a] + sizes[b] - apart) // 2 >= needed
-        for i, j, need in zip(a[keep], b[keep], needed[keep]):
-            both = len(np.intersect1d(self.grams[i], others[j], assume_unique=True))
-            if both >= need:
-                yield int(i), int(j), both
-
-
-def _front(size: int, share: float) -> int:
-    """How many of a set's rarest n-grams must hold one that a similar set also has among its own."""
-    return size - math.ceil(share * size - 1e-9) + 1
-
-
-def near_pairs(documents: DataFrame, width: int = 5, share: float = 0.6) -> DataFrame:
-    """``(class_e, class_t, both, n_e, n_t)``: classes of equal texts that are nearly the same across sides.
 
-    ``documents`` has ``doc``, ``plain`` (letters and digits only), ``class`` and the flags
-    ``train`` and ``evaluation``. The similarity is the share of distinct runs of ``width``
-    characters found in either text that are found in both; a shorter text
-    is one run. Every class is compared, in blocks of bounded size on a grid of
-    evaluation blocks and training blocks; no pair is given up.
-    """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(_order(documents, width))
-    classes = documents.groupBy("class").agg(F.first("plain").alias("plain"), F.max("train").alias("train"), F.max("evaluation").alias("evaluation"))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of n-gram hashes; sets that have any of them in common may be similar."""
+    factors, masks = _ORDERS
+    least = np.full(FOUR * BANDS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[k : k + 1024, None] ^ masks) * factors).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, FOUR).T:
+        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.astype(np.int64)
 
-    def ordered(frames):
-        ranks = sent.value
-        for frame in frames:
-            out = []
-            for plain in frame["plain"]:
-                h = run_hashes(plain, width)
-                # 32 bits that sort rare n-grams first: the count's rounded logarithm, then the hash.
-                rank = ranks[(h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)].astype(np.uint64)
-                out.append(np.unique(((rank << np.uint64(28)) | ((h ^ (h >> np.uint64(33))) & np.uint64(0xFFFFFFF))).astype(np.uint32)).tobytes())
-            yield pd.DataFrame({"class": frame["class"], "grams": out, "n": [len(g) // 4 for g in out], "train": frame["train"], "evaluation": frame["evaluation"]})
 
-    marked = cut(classes.mapInPandas(ordered, "class string, grams binary, n int, train boolean, evaluation boolean"), "runs")
-    sums = marked.agg(F.sum(F.when(F.col("evaluation"), F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("t")).first()
-    e_blocks = max(1, math.ceil((sums.e or 0) / EVALUATION_BLOCK))
-    t_blocks = max(8, math.ceil((sums.t or 0) / TRAINING_BLOCK))
+_ORDERS = _orders()
 
-    def side(flag: str, own: int, other: int, mine: str, theirs: str, tag: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("class"), F.lit(own)).cast("int")
-        return marked.where(flag).select(F.col("class").alias(f"class_{tag}"), F.col("grams").alias(f"grams_{tag}"), block.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
 
-    left, right = side("evaluation", e_blocks, t_blocks, "eb", "tb", "e"), side("train", t_blocks, e_blocks, "tt", "te", "t")
+def _block_join(held: DataFrame, trained: DataFrame, keys: list[str], hot: DataFrame, held_id: str, trained_id: str) -> DataFrame:
+    """``held`` joined with ``trained`` on ``keys``; rows of ``hot`` keys (``keys``, ``n``) meet in blocks, so that no task holds them all."""
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n") / BLOCK).alias("blocks")))
 
-    def meet(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(e) and len(t):
-            index = _Block([np.frombuffer(g, "<u4") for g in e["grams_e"]], share)
-            t_grams, step = [np.frombuffer(g, "<u4") for g in t["grams_t"]], 64
-            for k in range(0, len(t_grams), step):
-                some = t_grams[k : k + step]
-                rows += [(e["class_e"].iloc[i], t["class_t"].iloc[k + j], both, len(index.grams[i]), len(some[j])) for i, j, both in index.near(some) if e["class_e"].iloc[i] != t["class_t"].iloc[k + j]]
-        return pd.DataFrame(rows, columns=["class_e", "class_t", "both", "n_e", "n_t"])
+    def side(df: DataFrame, own_id: str, mine: str, other: str) -> DataFrame:
+        blocks = F.coalesce(F.col("blocks"), F.lit(1).cast("long"))
+        return df.join(hot, keys, "left").withColumn(mine, F.pmod(F.xxhash64(own_id), blocks)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("blocks")
 
-    return left.groupBy("eb", "tb").cogroup(right.groupBy("te", "tt")).applyInPandas(meet, "class_e string, class_t string, both long, n_e long, n_t long")
+    return side(held, held_id, "eb", "tb").join(side(trained, trained_id, "tb", "eb"), [*keys, "eb", "tb"]).drop("eb", "tb")
 
 
-def leaks(documents: DataFrame, observations: DataFrame, width: int = 5, share: float = 0.6) -> DataFrame:
-    """``(id_a, id_b, eval_split, source, kinds)``: pairs of document ids over the border of TRAIN and evaluation.
+def near_pairs(classes: DataFrame, width: int = 5, share: float = 0.6) -> DataFrame:
+    """``(class_e, class_t, both, n_e, n_t)``: classes of equal texts that are nearly the same across sides.
 
-    A pair shares a ``content_group_id`` or ``near_duplicate_group_id`` (without
-    case and outer white space; stand-ins for "not known" are no group), or has
-    the same or nearly the same text (see :func:`near_pairs`; texts without a
-    letter, null ones included, never count). Repeated documents count once; a null id is
-    no document. ``kinds`` tells which rules hold, ``id_a < id_b``, each pair
-    once, with the evaluation record's split and source (the lesser where both ids are on either side).
+    ``classes`` has one row a ``class``, with its ``plain`` text (letters and digits only) and the flags ``train`` and
+    ``evaluation``. The similarity is the share of distinct runs of ``width`` characters found in either text that are found
+    in both; a shorter text is one run. ``both`` / ``n_e`` is the containment of the evaluation text in the training text.
     """
-    flags = split_flags(observations)
+    own = classes.select("class", "plain", "train", "evaluation", F.xxhash64("class").alias("c"))
+
+    def banded(frames):
+        for frame in frames:
+            keys = [band_keys(run_hashes(plain, width)) for plain in frame["plain"]]
+            yield pd.DataFrame({"c": frame["c"], "train": frame["train"], "evaluation": frame["evaluation"], "keys": keys})
+
+    rows = cut(own.select("c", "plain", "train", "evaluation").mapInPandas(banded, "c long, train boolean, evaluation boolean, keys array<long>"), "bands")
+    keyed = rows.select("c", "train", "evaluation", F.explode("keys").alias("key"))
+    # Hot keys are looked for in a sixteenth of the classes: it decides only how the join is split.
+    part = rows.where(F.pmod(F.col("c"), F.lit(16)) == 0)
+    least = max(BLOCK // 16, part.count() // HOT_PARTS)
+    hot = part.select(F.explode("keys").alias("key")).groupBy("key").agg((F.count("*") * 16).alias("n")).where(F.col("n") >= 16 * least)
+    met = _block_join(keyed.where("evaluation").select("key", F.col("c").alias("e")), keyed.where("train").select("key", F.col("c").alias("t")), ["key"], hot, "e", "t")
+    met = cut(met.where("e <> t").select("e", "t").distinct(), "hits")
+
+    def texts(tag: str) -> DataFrame:
+        wanted = met.select(F.col(tag).alias("c")).distinct()
+        return own.join(wanted, "c", "left_semi").select(F.col("c").alias(tag), F.col("class").alias(f"class_{tag}"), F.col("plain").alias(f"plain_{tag}"))
+
+    def measured(frames):
+        known: dict[str, np.ndarray] = {}
+
+        def grams(plain: str) -> np.ndarray:
+            if plain not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[plain] = run_hashes(plain, width)
+            return known[plain]
+
+        for frame in frames:
+            out = []
+            for e, t, a, b in zip(frame["class_e"], frame["class_t"], frame["plain_e"], frame["plain_t"]):
+                x, y = grams(a), grams(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= share * (len(x) + len(y) - both) - 1e-9:
+                    out.append((e, t, both, len(x), len(y)))
+            yield pd.DataFrame(out, columns=["class_e", "class_t", "both", "n_e", "n_t"])
+
+    both = met.join(texts("e"), "e").join(texts("t"), "t").where("class_e <> class_t").select("class_e", "class_t", "plain_e", "plain_t")
+    return both.mapInPandas(measured, "class_e string, class_t string, both long, n_e long, n_t long")
+
+
+def _members(documents: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with class, groups, sides and plain text; one row of plain text a class)."""
     docs = documents.select(
         F.col("document_id").alias("doc"), folded(F.col("document_id")).alias("key"), "text",
         known_id(F.col("leakage.content_group_id")).alias("content"), known_id(F.col("leakage.near_duplicate_group_id")).alias("near"),
-    ).where("doc is not null").dropDuplicates().join(flags, "key")
+    ).where("doc is not null").join(split_flags(observations), "key")
 
     def plain(frames):
         for frame in frames:
             texts = [letters_digits(t) if t else "" for t in frame["text"]]
-            lettered = [any(unicodedata.category(c)[0] == "L" for c in t) for t in texts]
-            frame["plain"] = [t if ok else None for t, ok in zip(texts, lettered)]
+            frame["plain"] = [t if lettered(t) else None for t in texts]
             yield frame.drop(columns="text")
 
     made = docs.select("doc", "text", "content", "near", "train", "evaluation", "eval_split", "source").mapInPandas(
         plain, "doc string, content string, near string, train boolean, evaluation boolean, eval_split string, source string, plain string"
     )
     made = cut(made.withColumn("class", F.sha2("plain", 256)), "documents")
-    members = made.select("doc", "class", "content", "near", "train", "evaluation", "eval_split", "source")
+    classes = made.where("class is not null").groupBy("class").agg(F.first("plain").alias("plain"), F.max("train").alias("train"), F.max("evaluation").alias("evaluation"))
+    return made.drop("plain").distinct(), classes
+
 
-    group = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in (("content_group", "content"), ("near_duplicate_group", "near"), ("text", "class"))))).alias("g")
-    grouped = members.select("doc", "train", "evaluation", "eval_split", "source", group).select("doc", "train", "evaluation", "eval_split", "source", "g.kind", "g.value").where("value is not null")
+_KINDS = (("content_group", "content"), ("near_duplicate_group", "near"), ("text", "class"))
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """A row for each group that a document declares, and for its class of equal texts."""
+    group = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in _KINDS))).alias("g")
+    return members.select("doc", "train", "evaluation", "eval_split", "source", group).select("doc", "train", "evaluation", "eval_split", "source", "g.kind", "g.value").where("value is not null")
+
+
+def _hot(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The keys with so many rows that they are split; at most some ``HOT_PARTS`` of them."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max(BLOCK, total // HOT_PARTS))
+
+
+def leaks(documents: DataFrame, observations: DataFrame, width: int = 5, share: float = 0.6) -> DataFrame:
+    """``(id_a, id_b, eval_split, source, kinds, containment)``: pairs of document ids over the border of TRAIN and evaluation.
+
+    A pair shares a ``content_group_id`` or ``near_duplicate_group_id`` (without
+    case and outer white space; stand-ins for "not known" are no group), or has
+    the same or nearly the same text (see :func:`near_pairs`; texts without a
+    letter, null ones included, never count). Repeated documents count once; a null id is
+    no document. ``kinds`` tells which rules hold, ``id_a < id_b``, each pair
+    once, with the evaluation record's split and source (the lesser where both ids are on either side).
+    ``containment`` is the part of the evaluation text's n-grams that stand in
+    the training text, null where only a group was declared (the greater where both ids are on either side).
+    """
+    members, classes = _members(documents, observations)
+    members = cut(members, "members")
+    grouped, total = _grouped(members), members.count()
     held = grouped.where("evaluation").select("kind", "value", F.col("doc").alias("e"), "eval_split", "source")
     trained = grouped.where("train").select("kind", "value", F.col("doc").alias("t"))
-    same = held.join(trained, ["kind", "value"]).select("e", "t", "eval_split", "source", "kind")
-
-    close = near_pairs(made.where("plain is not null").select("doc", "plain", "class", "train", "evaluation"), width, share).select("class_e", "class_t")
-    nearly = (
-        close.join(members.where("evaluation").select(F.col("class").alias("class_e"), F.col("doc").alias("e"), "eval_split", "source"), "class_e")
-        .join(members.where("train").select(F.col("class").alias("class_t"), F.col("doc").alias("t")), "class_t")
-        .select("e", "t", "eval_split", "source", F.lit("near_text").alias("kind"))
-    )
+    same = _block_join(held, trained, ["kind", "value"], _hot(grouped, ["kind", "value"], total), "e", "t")
+    same = same.select("e", "t", "eval_split", "source", "kind", F.when(F.col("kind") == "text", F.lit(1.0)).alias("containment"))
+
+    close = near_pairs(classes, width, share).select("class_e", "class_t", (F.col("both") / F.col("n_e")).alias("containment"))
+    by_class = members.where("class is not null")
+    hot = _hot(by_class, ["class"], total)
+    held = by_class.where("evaluation").select(F.col("class").alias("class_e"), F.col("doc").alias("e"), "eval_split", "source")
+    trained = by_class.where("train").select(F.col("class").alias("class_t"), F.col("doc").alias("t"))
+    nearly = _block_join(close, held, ["class_e"], hot.withColumnRenamed("class", "class_e"), "class_t", "e")
+    nearly = _block_join(nearly, trained, ["class_t"], hot.withColumnRenamed("class", "class_t"), "e", "t")
     return (
-        same.unionByName(nearly).where("e <> t").select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"), "eval_split", "source", "kind")
-        .groupBy("id_a", "id_b").agg(F.min(F.struct("eval_split", "source")).alias("x"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-        .select("id_a", "id_b", "x.eval_split", "x.source", "kinds")
+        same.unionByName(nearly.select("e", "t", "eval_split", "source", F.lit("near_text").alias("kind"), "containment"))
+        .where("e <> t").select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"), "eval_split", "source", "kind", "containment")
+        .groupBy("id_a", "id_b").agg(F.min(F.struct("eval_split", "source")).alias("x"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("containment").alias("containment"))
+        .select("id_a", "id_b", "x.eval_split", "x.source", "kinds", "containment")
+    )
+
+
+def leak_members(documents: DataFrame, observations: DataFrame) -> DataFrame:
+    """``(document_id, class_id, n_content, n_near_duplicate, n_text)``: each document that takes part, with its class and links.
+
+    ``class_id`` names the class of equal texts (null for a text without a
+    letter); the counts are the documents on the other side that share the
+    declared groups or the text. Copies are counted, not listed, so this stays
+    as long as the table however large a group is. Documents without a TRAIN, DEV or TEST
+    observation are left out; repeated documents count once.
+    """
+    members, _ = _members(documents, observations)
+    members = cut(members.groupBy("doc", "class", "content", "near").agg(F.max("train").alias("train"), F.max("evaluation").alias("evaluation")), "members")
+    out = members.select("doc", "class", "train", "evaluation", *(c for _, c in _KINDS[:2]))
+    for kind, c in _KINDS:
+        sides = members.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum(F.col("train").cast("long")).alias(f"{c}_t"), F.sum(F.col("evaluation").cast("long")).alias(f"{c}_e"))
+        out = out.join(sides.withColumnRenamed(c, f"own_{c}"), F.col(c) == F.col(f"own_{c}"), "left").drop(f"own_{c}")
+
+    def links(c: str) -> F.Column:
+        """Those on the other side, without the document itself where it is on both."""
+        twice = (F.col("train") & F.col("evaluation")).cast("long")
+        one = F.col("evaluation").cast("long") * F.coalesce(F.col(f"{c}_t"), F.lit(0)) + F.col("train").cast("long") * F.coalesce(F.col(f"{c}_e"), F.lit(0))
+        return F.when(twice == 0, one).when(F.col(f"{c}_t").isNull(), 0).otherwise(F.col(f"{c}_t") + F.col(f"{c}_e") - 2)
+
+    return out.select(
+        F.col("doc").alias("document_id"), F.col("class").alias("class_id"), links("content").alias("n_content"), links("near").alias("n_near_duplicate"), links("class").alias("n_text")
     )

@@ -15,6 +15,11 @@ def letters_digits(text: str) -> str:
     return _OTHER.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
+def lettered(text: str) -> bool:
+    """Whether ``text`` holds a letter."""
+    return any(unicodedata.category(c)[0] == "L" for c in text)
+
+
 def offsets(text: str) -> tuple[str, list[int]]:
     """:func:`letters_digits` of ``text`` with, for each of its characters, the code point of ``text`` it comes from.
 

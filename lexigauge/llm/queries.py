@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut, table
 from .contamination import held_items
 from .grouping import assign_splits, broken_ties
-from .leakage import leaks
+from .leakage import leak_members, leaks
 from .quantiles import PERCENTS, combine, once, percentiles, sketches
 from .sentences import sentence_units
 from .splitting import split_items
@@ -26,7 +26,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping pairs per evaluation split and source."""
     found = leaks(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations"))
-    return found.groupBy("eval_split", "source").agg(F.count("*").alias("n_pairs"), F.sum(F.array_contains("kinds", "near_text").cast("long")).alias("n_near_text"))
+    return found.groupBy("eval_split", "source").agg(
+        F.count("*").alias("n_pairs"), F.sum(F.array_contains("kinds", "near_text").cast("long")).alias("n_near_text"), F.round(F.avg("containment"), 9).alias("mean_containment")
+    )
+
+
+def p1_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair with the part of the evaluation text that stands in the training text."""
+    return leaks(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations"))
+
+
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document on either side with its class of equal texts and its number of links."""
+    return leak_members(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations"))
 
 
 def _sketched(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +161,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    own = (p1_found, p1_report, p2_percentiles, p2_from_days, p2_verified, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
+    own = (p1_found, p1_report, p1_containment, p1_members, p2_percentiles, p2_from_days, p2_verified, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
     return {q.__name__: q for q in own}
 
 
