@@ -1,7 +1,7 @@
 """Problem 7: passages of evaluation items inside corpus documents.
 
 One Aho-Corasick automaton over the runs of twelve characters of all
-normalised items scans each normalised document once; hits are counted per
+normalised items, however many, scans each normalised document once; hits are counted per
 item, and offsets are mapped back to the original text.
 """
 
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from .normal import letters_digits, offsets
 
-#: Items per automaton: about 150 runs each, so an automaton stays under some 200 MB.
-ITEMS_PER_AUTOMATON = 4096
-
-
 class _Automaton:
     """Runs of ``width`` characters of a block of items."""
 
@@ -46,25 +42,31 @@ class _Automaton:
         self.needed = np.asarray(self.counts, np.int64)
 
     def held(self, text: str, share: float, where: bool) -> list[tuple]:
-        """(item, runs found, runs, start, end) of the items of which at least ``share`` of the runs occur."""
+        """(item, runs found, runs, start, end) of the items of which at least ``share`` of the runs occur; if ``where``, for each of their passages."""
         if not self.ids:
             return []
-        plain = letters_digits(text)
-        found = {k for _, (k, _) in self.scan.iter(plain)}
-        if not found:
+        plain, places = letters_digits(text), None
+        hits = [(e - n + 1, e + 1, k) for e, (k, n) in self.scan.iter(plain)]
+        if not hits:
             return []
-        hits = np.bincount(np.concatenate([self.owner[self.first[k] : self.first[k + 1]] for k in found]), minlength=len(self.ids))
+        found = np.bincount(np.concatenate([self.owner[self.first[k] : self.first[k + 1]] for k in {k for _, _, k in hits}]), minlength=len(self.ids))
         rows = []
-        for i in np.flatnonzero((hits > 0) & (hits >= share * self.needed)):
-            start = end = None
-            if where:
+        for i in np.flatnonzero((found > 0) & (found >= share * self.needed)):
+            own = (self.ids[i], int(found[i]), int(self.needed[i]))
+            if not where:
+                rows.append((*own, None, None))
+                continue
+            if places is None:
                 mapped, places = offsets(text)
-                if mapped == plain:
-                    ends = [(e - n + 1, e) for e, (k, n) in self.scan.iter(plain) if i in self.owner[self.first[k] : self.first[k + 1]]]
-                    start, end = places[min(a for a, _ in ends)], places[max(b for _, b in ends)] + 1
+                if mapped != plain:
+                    hits = [(e - n + 1, e + 1, k) for e, (k, n) in self.scan.iter(mapped)]
+            spans: list[list[int]] = []
+            for a, b in sorted((a, b) for a, b, k in hits if i in self.owner[self.first[k] : self.first[k + 1]]):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
                 else:
-                    start, end = 0, len(text)
-            rows.append((self.ids[i], int(hits[i]), int(self.needed[i]), start, end))
+                    spans.append([a, b])
+            rows += [(*own, places[a], places[b - 1] + 1) for a, b in spans]
         return rows
 
 
@@ -88,32 +90,24 @@ def held_items(
 
     A document holds an item when at least ``share`` of the item's distinct runs
     of ``width`` letters and digits (NFKC, lower case) occur in it; an item
-    shorter than that is one run. ``start_cp`` and ``end_cp`` bound the hits in
-    the original text (null unless ``where``). Null or letterless documents hold
+    shorter than that is one run. With ``where`` there is a row for each passage, a
+    stretch of the text that the item's runs cover without a gap, and ``start_cp`` and
+    ``end_cp`` bound it in the original text; else one row an item, and both are null. Null or letterless documents hold
     nothing; null or letterless items are held by nothing; repeated items count
     once, repeated documents each. Other columns are not read. The items are the
-    stated query set: they are read in blocks of ``ITEMS_PER_AUTOMATON`` items,
-    and the documents are scanned once for each block.
+    stated query set: all go into one automaton, some 50 KB each, which every worker
+    builds once, and the documents are scanned once.
     """
     spark = documents.sparkSession
     held = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for row in held.orderBy("i", "t").toLocalIterator():
-        if len(blocks[-1]) >= ITEMS_PER_AUTOMATON:
-            blocks.append([])
-        blocks[-1].append((row.i, row.t))
+    sent = spark.sparkContext.broadcast(sorted((r.i, r.t) for r in held.toLocalIterator()))
     narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    out = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            own = _automaton(sent.value, width)
-            for frame in frames:
-                rows = [(d, *hit) for d, t in zip(frame["doc_id"], frame["text"]) for hit in own.held(t, share, where)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "runs_found", "runs", "start_cp", "end_cp"])
-
-        part = narrow.mapInPandas(run, f"doc_id {kind}, item_id long, runs_found long, runs long, start_cp long, end_cp long")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _automaton(sent.value, width)
+        for frame in frames:
+            rows = [(d, *hit) for d, t in zip(frame["doc_id"], frame["text"]) for hit in own.held(t, share, where)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "runs_found", "runs", "start_cp", "end_cp"])
+
+    return narrow.mapInPandas(run, f"doc_id {kind}, item_id long, runs_found long, runs long, start_cp long, end_cp long")

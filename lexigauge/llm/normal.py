@@ -26,16 +26,20 @@ def offsets(text: str) -> tuple[str, list[int]]:
     The text is normalised cluster by cluster (a character with its combining
     marks), so composed characters map to the start of their cluster.
     """
-    out, where, start, n = [], [], 0, len(text)
+    pieces, where, start, n = [], [], 0, len(text)
     while start < n:
         end = start + 1
-        while end < n and (unicodedata.combining(text[end]) or "ᅠ" <= text[end] <= "ᇿ"):
+        while end < n and (unicodedata.combining(text[end]) or "\u1160" <= text[end] <= "\u11ff"):
             end += 1
-        piece = letters_digits(text[start:end])
-        out.append(piece)
-        where.extend([start] * len(piece))
+        piece = unicodedata.normalize("NFKC", text[start:end])
+        pieces.append(piece)
+        for c in piece:
+            where += [start] * len(c.lower())
         start = end
-    return "".join(out), where
+    # The whole is lowered at once, since a sigma at the end of a word is another letter.
+    lower = "".join(pieces).lower()
+    kept = [(c, w) for c, w in zip(lower, where) if c != "_" and not _OTHER.match(c)]
+    return "".join(c for c, _ in kept), [w for _, w in kept]
 
 
 def run_hashes(text: str, width: int) -> np.ndarray:

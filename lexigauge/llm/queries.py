@@ -122,7 +122,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the share found and the place in the original text."""
+    """Every passage of an item in a document, with the share of the item found and its place in the original text."""
     return held_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), where=True)
 
 

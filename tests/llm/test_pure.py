@@ -158,6 +158,29 @@ def test_thai_spaces_are_learned_from_line_breaks():
     assert sum(g in units for g in got) / len(got) > 0.97
 
 
+def test_unmarked_runs_are_parted_as_marked_ones_are():
+    rng = random.Random(10)
+    heads, tails = ["我们先看", "审稿人写道", "下面比较", "请注意"], ["这个问题", "第二份草稿", "平坦的群", "开的集合"]
+    unit = lambda: rng.choice(heads) + rng.choice(tails)
+    texts = ["".join(unit() + rng.choice(["。", "。", "。\n"]) for _ in range(8)) for _ in range(300)]
+    model = Model()
+    model.train(texts)
+    wanted = found = 0
+    for _ in range(50):
+        parts = [unit() for _ in range(8)]
+        got = [line[a:b] for line in ["".join(parts)] for a, b in model.units(line)]
+        wanted, found = wanted + len(parts), found + sum(p in parts for p in got)
+    assert found > 0.9 * wanted
+
+
+def test_each_passage_has_its_own_span():
+    item = "every flat chamber meets exactly seven doors and each door opens twice"
+    text = "Σίσυφος ＡΣ. " + item[:34].upper() + " -- (something else stands here, long enough) -- " + item[34:] + "."
+    (_, found, runs, a, b), (*_, c, d) = _Automaton([(7, item)], 12).held(text, 0.5, True)
+    assert found < runs and text[a:b].lower() == item[:34].strip() and text[c:d] == item[34:].strip() and b < c
+    assert offsets("ΑΣ Ὀδυσσεύς ß ﬁ İ")[0] == letters_digits("ΑΣ Ὀδυσσεύς ß ﬁ İ")
+
+
 def test_abuse_is_found_however_spelled():
     rng = random.Random(9)
     plain = ["the ring is flat and open", "every proof needs a lemma", "we compare the two maps", "the study counts insults in forums", "a moron proof lock is sold"]
