@@ -17,6 +17,8 @@ from ..sources.tables import cut, drop_cut
 LARGE_PARTS = 256
 #: Hash slots of the smaller sets in each stratum: the grain of the shares.
 SLOTS = 4096
+#: Parts of a set that holds one of ``LARGE_PARTS`` parts of all rows, when rows look up their set.
+SALTS = 64
 #: Rounds at most in which the splits' factors are fitted to the shares of the whole.
 ROUNDS = 20
 
@@ -65,7 +67,19 @@ def observation_sets(observations: DataFrame, documents: DataFrame) -> DataFrame
         F.explode(F.array(F.concat(F.lit("w:"), known_id(F.col("leakage.work_id"))), F.concat(F.lit("l:"), known_id(F.col("leakage.lineage_id"))))).alias("entity"),
     ).where("entity is not null and key is not null")
     rows = observations.select(folded(F.col("id")).alias("key"), _set_key(F.col("component_id"), F.col("id")).alias("member")).where("key is not null").distinct()
-    return linked_sets(rows.join(declared, "key").select("member", "entity")).withColumnRenamed("member", "set")
+    # An id that stands in several record sets links them.
+    several = rows.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low <> high").select("key")
+    twice = rows.join(several, "key").select("member", F.concat(F.lit("i:"), F.col("key")).alias("entity"))
+    return linked_sets(rows.join(declared, "key").select("member", "entity").unionByName(twice)).withColumnRenamed("member", "set")
+
+
+def _looked_up(rows: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with what ``wanted`` says of their ``set`` (once each), the rows of ``hot`` sets in ``SALTS`` parts."""
+    hot = F.broadcast(hot.select("set", F.lit(SALTS).alias("parts")))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    left = rows.join(hot, "set", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    right = wanted.join(hot, "set", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["set", "part"]).drop("part")
 
 
 def _rooted(observations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -85,11 +99,14 @@ def broken_ties(observations: DataFrame, documents: DataFrame) -> DataFrame:
     listed. Splits are gathered per set first, so a set of any size is never in one task.
     """
     rows, sets = _rooted(observations, documents)
-    own = rows.groupBy("set").agg(F.min(F.when(F.col("split") != "", F.col("split"))).alias("low"), F.max(F.when(F.col("split") != "", F.col("split"))).alias("high"))
-    own = cut(own.join(sets, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "low", "high"), "sets")
+    known = F.when(F.col("split") != "", F.col("split"))
+    own = rows.groupBy("set").agg(F.min(known).alias("low"), F.max(known).alias("high"), F.count("*").alias("n"))
+    own = cut(own.join(sets, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "low", "high", "n"), "sets")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    hot = own.where(F.col("n") * LARGE_PARTS >= F.lit(max(total, 1)))
     mixed = own.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("root")
     wanted = own.join(mixed, "root").select("set", "root")
-    return rows.where("id is not null").join(wanted, "set").select("id", "root").distinct()
+    return _looked_up(rows.where("id is not null").select("id", "set"), wanted, hot).select("id", "root").distinct()
 
 
 def assign_splits(observations: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,7 +127,9 @@ def assign_splits(observations: DataFrame, documents: DataFrame, targets: DataFr
     scale = sum(s for _, s in shares)
     shares = [(name, s / scale) for name, s in shares]
     rows, sets = _rooted(observations, documents)
-    rows = rows.where("id is not null").select("id", "set", F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("condition", F.lit("?"))).alias("label")).dropDuplicates(["id", "set"])
+    rows = rows.where("id is not null").select("id", "set", F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("condition", F.lit("?"))).alias("label"))
+    # Rows of one id may bear other labels: the least counts.
+    rows = cut(rows.groupBy("id", "set").agg(F.min("label").alias("label")), "rows")
     per_set = rows.groupBy("set", "label").count()
     counts = per_set.join(sets, "set", "left").groupBy(F.coalesce("root", "set").alias("root"), "label").agg(F.sum("count").alias("n"))
     per_root = counts.groupBy("root").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).getField("label").alias("stratum"))
@@ -175,5 +194,26 @@ def assign_splits(observations: DataFrame, documents: DataFrame, targets: DataFr
         split = F.when(F.col("middle") <= F.col("all") * F.col("edges")[k], F.lit(name)).otherwise(split)
     dealt = small.join(sums.select("stratum", "slot", split.alias("split")), ["stratum", "slot"]).select("root", "split")
     by_root = dealt.unionByName(chosen_df)
-    members = rows.join(sets, "set", "left").select("id", F.coalesce("root", "set").alias("root"))
-    return members.join(by_root, "root").select("id", "root", "split").distinct()
+    # Sets, not rows, look up their root's split; then rows their set.
+    by_set = per_set.select("set").distinct().join(sets, "set", "left").select("set", F.coalesce("root", "set").alias("root")).join(by_root, "root")
+    hot = per_set.groupBy("set").agg(F.sum("count").alias("n")).where(F.col("n") * LARGE_PARTS >= F.lit(max(total, 1)))
+    return _looked_up(rows.select("id", "set"), by_set, hot).select("id", "root", "split").distinct()
+
+
+def deviations(observations: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(stratum, split, n, share, target, deviation)``: what each stratum's splits hold and how far that is from the target.
+
+    A stratum is a pair of source and condition; every id counts once, with its
+    least stratum. Splits that got nothing in a stratum have n = 0.
+    """
+    label = F.concat_ws("/", F.coalesce(folded(F.col("source")), F.lit("?")), F.coalesce("condition", F.lit("?")))
+    labels = observations.where("id is not null").groupBy("id").agg(F.min(label).alias("stratum"))
+    got = assign_splits(observations, documents, targets).select("id", "split").join(labels, "id").groupBy("stratum", "split").agg(F.count("*").alias("n"))
+    got = cut(got, "shares")
+    scale = targets.where("split is not null and share > 0").agg(F.sum("share")).first()[0]
+    wanted = F.broadcast(targets.where("split is not null and share > 0").select("split", (F.col("share") / F.lit(scale)).alias("target")))
+    sizes = got.groupBy("stratum").agg(F.sum("n").alias("all"))
+    grid = sizes.select("stratum", "all", F.explode(F.array(*(F.lit(r.split) for r in targets.where("split is not null and share > 0").select("split").collect()))).alias("split"))
+    full = grid.join(wanted, "split").join(got, ["stratum", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    share = F.col("n") / F.col("all")
+    return full.select("stratum", "split", "n", F.round(share, 9).alias("share"), "target", F.round(share - F.col("target"), 9).alias("deviation"))

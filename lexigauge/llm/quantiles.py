@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.text import folded
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+#: Values of a buffer.
+BUFFER = 2048
 _BUFFERS = "array<struct<level:int,weight:bigint,items:array<double>>>"
 
 
@@ -95,7 +97,7 @@ def _rows(parts: dict, names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*names, "n", "rank_error", "buffers"])
 
 
-def sketches(rows: DataFrame, by: list[str], features: str = "features", k: int = 2048, most_open: int = 20_000) -> DataFrame:
+def sketches(rows: DataFrame, by: list[str], features: str = "features", k: int = BUFFER, most_open: int = 20_000) -> DataFrame:
     """Sketches per ``by`` and ``feature_id``: ``(by..., feature_id, part, n, rank_error, buffers)``, several per group.
 
     ``features`` is a map from feature id to value, ``by`` are string columns
@@ -156,7 +158,7 @@ def sketches(rows: DataFrame, by: list[str], features: str = "features", k: int
     return narrow.mapInArrow(run, schema)
 
 
-def combine(parts: DataFrame, by: list[str], k: int = 2048, fan_in: int = 256, most_parts: int | None = None) -> DataFrame:
+def combine(parts: DataFrame, by: list[str], k: int = BUFFER, fan_in: int = 256, most_parts: int | None = None) -> DataFrame:
     """One sketch per ``by`` and ``feature_id`` from those of partitions, days or other finer groups.
 
     Merges go up a tree: a task merges at most about ``fan_in`` sketches of one

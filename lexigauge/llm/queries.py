@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
 from ..sources.tables import cut, table
 from .contamination import held_items
-from .grouping import assign_splits, broken_ties
+from .grouping import assign_splits, broken_ties, deviations
 from .leakage import leak_members, leaks
-from .quantiles import PERCENTS, combine, once, percentiles, sketches
+from .quantiles import BUFFER, PERCENTS, combine, once, percentiles, sketches
 from .sentences import sentence_units
 from .splitting import split_items
 from .tokens import encode_column
@@ -41,9 +42,9 @@ def p1_members(spark: SparkSession, folder: str) -> DataFrame:
     return leak_members(table(spark, folder, "measured_documents"), table(spark, folder, "style_observations"))
 
 
-def _sketched(spark: SparkSession, folder: str) -> DataFrame:
+def _sketched(spark: SparkSession, folder: str, k: int = BUFFER) -> DataFrame:
     by = ["source", "condition"]
-    return combine(cut(sketches(once(table(spark, folder, "style_observations")), by), "sketches"), by)
+    return combine(cut(sketches(once(table(spark, folder, "style_observations")), by, k=k), "sketches"), by, k=k)
 
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,8 +61,12 @@ def p2_from_days(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_verified(spark: SparkSession, folder: str) -> DataFrame:
     """Per group, whether every percentile's true rank is within the stated bound."""
+    return _verified(spark, folder, _sketched(spark, folder))
+
+
+def _verified(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
     keys = ["source", "condition", "feature_id"]
-    answers = cut(p2_percentiles(spark, folder), "answers")
+    answers = cut(percentiles(made, ["source", "condition"]), "answers")
     stacked = answers.select(*keys, "n", "rank_error", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"p{p:02d}").alias("v")) for p in PERCENTS))).alias("a")).select(*keys, "n", "rank_error", "a.*")
     values = once(table(spark, folder, "style_observations")).select("source", "condition", F.explode("features").alias("feature_id", "value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
@@ -73,6 +78,11 @@ def p2_verified(spark: SparkSession, folder: str) -> DataFrame:
     return ranks.groupBy(*keys, "n").agg(F.min(off <= F.col("rank_error")).alias("within_bound"))
 
 
+def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for sketches of so small buffers that they collapse many times."""
+    return _verified(spark, folder, _sketched(spark, folder, 32))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence unit of every distinct measured document."""
     return sentence_units(table(spark, folder, "measured_documents")).select("document_id", "start_cp", "end_cp")
@@ -94,6 +104,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_items(table(spark, folder, "papers"), table(spark, folder, "size_limits"))
 
 
+def p4_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """Per oversized paper, whether its pieces keep the limit, overlap as told, and give back the whole text."""
+    limits = table(spark, folder, "size_limits").select(folded(F.col("format")).alias("format"), "max_code_points", "overlap_code_points")
+    made = split_items(table(spark, folder, "papers"), table(spark, folder, "size_limits")).where("pieces > 1").join(F.broadcast(limits), "format")
+    before = Window.partitionBy("paper_id", "format", "pieces").orderBy("piece")
+    last, end = F.lag("text").over(before), F.lag("end_cp").over(before)
+    fits = (F.col("n_chars") <= F.col("max_code_points")) & (F.length("text") == F.col("n_chars")) & (F.col("end_cp") - F.col("start_cp") == F.col("n_chars"))
+    overlaps = F.when(end.isNull(), F.col("start_cp") == 0).otherwise(
+        (F.col("start_cp") == end - F.col("overlap_code_points")) & (F.right(last, F.col("overlap_code_points").cast("int")) == F.left("text", F.col("overlap_code_points").cast("int")))
+    )
+    checked = made.select("paper_id", "end_cp", (fits & overlaps).alias("ok"))
+    return checked.groupBy("paper_id").agg(F.max("end_cp").alias("n_chars"), F.min("ok").alias("kept"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Observation ids in linked sets that hold more than one split."""
     return broken_ties(table(spark, folder, "style_observations"), table(spark, folder, "measured_documents")).select("id").distinct()
@@ -111,6 +135,21 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     return got.join(table(spark, folder, "split_targets"), "split").select("split", F.col("share").alias("target"), "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
+def p5_deviation(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares per source and condition, and how far they are from the targets."""
+    return deviations(*(table(spark, folder, t) for t in ("style_observations", "measured_documents", "split_targets")))
+
+
+def p5_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split, whether its share is within a hundredth of the target, and that no linked set is parted."""
+    own = cut(assign_splits(*(table(spark, folder, t) for t in ("style_observations", "measured_documents", "split_targets"))), "assigned")
+    parted = own.groupBy("root").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high").count()
+    total = own.count()
+    got = own.groupBy("split").agg(F.count("*").alias("n"))
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.lit(max(total, 1)) - F.col("share")) <= 0.01
+    return table(spark, folder, "split_targets").join(got, "split", "left").select("split", near.alias("near"), F.lit(parted == 0).alias("whole"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents"))
@@ -161,7 +200,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    own = (p1_found, p1_report, p1_containment, p1_members, p2_percentiles, p2_from_days, p2_verified, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_assignment, p5_shares, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
+    own = (p1_found, p1_report, p1_containment, p1_members, p2_percentiles, p2_from_days, p2_verified, p2_collapsed, p3_found, p3_units, p4_found, p4_pieces, p4_verified, p5_found, p5_assignment, p5_shares, p5_deviation, p5_verified, p6_ids, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
     return {q.__name__: q for q in own}
 
 
@@ -174,6 +213,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_percentiles": exact,
         "p2_from_days": exact,
         "p2_verified": f"{_ONCE} SELECT DISTINCT source, condition, feature_id, n, true AS within_bound FROM ranked",
+        "p2_collapsed": f"{_ONCE} SELECT DISTINCT source, condition, feature_id, n, true AS within_bound FROM ranked",
+        "p4_verified": """
+SELECT p.paper_id, max(length(coalesce(p.text, array_to_string(p.chunks, '')))) AS n_chars, true AS kept
+FROM papers p JOIN size_limits s ON s.format = coalesce(lower(trim(p.format)), 'latex')
+WHERE length(coalesce(p.text, array_to_string(p.chunks, ''))) > s.max_code_points GROUP BY p.paper_id""",
+        "p5_verified": "SELECT split, true AS near, true AS whole FROM split_targets",
         "p4_found": """
 SELECT DISTINCT p.paper_id FROM papers p JOIN size_limits s ON s.format = coalesce(lower(trim(p.format)), 'latex')
 WHERE length(coalesce(p.text, array_to_string(p.chunks, ''))) > s.max_code_points""",
