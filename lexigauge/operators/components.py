@@ -72,47 +72,24 @@ def contrasts(rows: DataFrame) -> DataFrame:
     return differences(rows).groupBy("split", "source", "feature_id").agg(F.count("*").alias("paired_components"), F.avg("d").alias("human_minus_chatgpt"))
 
 
-#: Pairs up to which one task resamples a feature's differences as a list.
-EXACT_PAIRS = 1_000_000
-
-
 def bootstrap(rows: DataFrame, draws: int = 400, seed: int = 0) -> DataFrame:
     """``(split, source, feature_id, low, high)``: the 95 % interval of the mean difference.
 
     Differences are resampled in component order by a generator seeded with
-    "seed/split/source/feature". The keys are few and each difference is one number; of keys
-    with more than ``EXACT_PAIRS`` pairs, hash parts of the components are
-    resampled apart with Poisson weights and their sums added, so no task holds them all.
+    "seed/split/source/feature", by the same rule at every size. The keys are few; a key's
+    differences, one number a component, are in one task.
     """
     if not isinstance(draws, int) or isinstance(draws, bool) or not 0 <= draws <= 10_000:
         raise ValueError("draws must be an integer between 0 and 10000")
     keys = ["split", "source", "feature_id"]
-    own = differences(rows)
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2")
-    sized = own.join(F.broadcast(sizes), keys) if draws else own.withColumn("n", F.lit(0)).limit(0)
 
-    def exact(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("component_id")
+    def resampled(frame: pd.DataFrame) -> pd.DataFrame:
         key = tuple(frame[k].iloc[0] for k in keys)
+        if not draws or len(frame) < 2:
+            return pd.DataFrame([], columns=[*keys, "low", "high"])
         rng = random.Random("/".join([str(seed), *key]))
-        values = frame["d"].tolist()
-        boot = sorted(fmean(rng.choices(values, k=len(values))) for _ in range(draws))
-        return pd.DataFrame([(*key, float(np.quantile(boot, 0.025)), float(np.quantile(boot, 0.975)))], columns=[*keys, "low", "high"])
-
-    def part(frame: pd.DataFrame) -> pd.DataFrame:
-        key, slot = tuple(frame[k].iloc[0] for k in keys), int(frame["slot"].iloc[0])
-        rng = np.random.default_rng([seed, slot, *"/".join(key).encode()])
-        values = frame.sort_values("component_id")["d"].to_numpy()
-        sums, counts = np.zeros(draws), np.zeros(draws)
-        for i in range(draws):
-            weights = rng.poisson(1.0, len(values))
-            sums[i], counts[i] = weights @ values, weights.sum()
-        return pd.DataFrame([(*key, sums.tolist(), counts.tolist())], columns=[*keys, "sums", "counts"])
-
-    schema = "split string, source string, feature_id string"
-    small = sized.where(F.col("n") <= EXACT_PAIRS).groupBy(*keys).applyInPandas(exact, f"{schema}, low double, high double")
-    slots = F.pmod(F.xxhash64("component_id"), F.ceil(F.col("n") / EXACT_PAIRS) * 2).alias("slot")
-    parts = sized.where(F.col("n") > EXACT_PAIRS).select("*", slots).groupBy(*keys, "slot").applyInPandas(part, f"{schema}, sums array<double>, counts array<double>")
-    each = parts.select(*keys, F.posexplode(F.arrays_zip("sums", "counts")).alias("draw", "x")).groupBy(*keys, "draw").agg((F.sum("x.sums") / F.sum("x.counts")).alias("m"))
-    large = each.groupBy(*keys).agg(F.percentile("m", [0.025, 0.975]).alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    return small.unionByName(large)
+        values = frame.sort_values("component_id")["d"].tolist()
+        means = [fmean(rng.choices(values, k=len(values))) for _ in range(draws)]
+        return pd.DataFrame([(*key, float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975)))], columns=[*keys, "low", "high"])
+
+    return differences(rows).groupBy(*keys).applyInPandas(resampled, "split string, source string, feature_id string, low double, high double")

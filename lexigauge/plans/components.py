@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components as c
@@ -13,15 +13,23 @@ def _obs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "style_observations")
 
 
+def significant(x: Column) -> Column:
+    """``x`` to eight significant digits, off the ties that engines round apart: sums of doubles differ in the last ones with the order of rows."""
+    return F.format_string("%.7e", x * 1.000000000001).cast("double") + 0.0
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 9) + 0.0 for n in names})
+    return df.withColumns({n: F.when(F.col(n).isNotNull(), significant(F.col(n))) for n in names})
+
+
+def _sig(x: str) -> str:
+    return f"CAST(printf('%.7e', ({x}) * 1.000000000001) AS DOUBLE) + 0.0"
 
 
-# The SQL leaves values of magnitude 1e4 and more out; the queries count every finite value, so they differ from it in groups that hold such values.
 _ROWS = """kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at, measured_at, component_id, split, source, condition) AS rn FROM style_observations
   WHERE split IN ('TRAIN', 'DEV') AND id IS NOT NULL AND component_id IS NOT NULL AND source IS NOT NULL AND condition IS NOT NULL) WHERE rn = 1),
 ex AS (SELECT split, source, condition, component_id, unnest(map_entries(features)) AS e FROM kept),
-long AS (SELECT split, source, condition, component_id, e.key AS feature_id, CASE WHEN isfinite(e.value) AND abs(e.value) < 1e4 THEN e.value END AS value FROM ex),
+long AS (SELECT split, source, condition, component_id, e.key AS feature_id, CASE WHEN isfinite(e.value) THEN e.value END AS value FROM ex),
 means AS (SELECT split, source, condition, feature_id, component_id, avg(value) AS mean, count(value) AS n, count(*) - count(value) AS missing FROM long GROUP BY ALL)"""
 _DIFF = """diffs AS (SELECT h.split, h.source, h.feature_id, h.component_id, h.mean - g.mean AS d FROM means h JOIN means g USING (split, source, feature_id, component_id)
   WHERE h.condition = 'HUMAN' AND g.condition = 'CHATGPT' AND h.mean IS NOT NULL AND g.mean IS NOT NULL)"""
@@ -44,12 +52,12 @@ SELECT unnest(['schema', 'blank_field', 'split', 'units', 'not_finite', 'extra_p
     ),
     "component_means": (
         lambda spark, d: _rounded(c.component_means(c.long(_obs(spark, d))), "mean"),
-        f"WITH {_ROWS} SELECT * REPLACE (round(mean, 9) + 0.0 AS mean) FROM means",
+        f"WITH {_ROWS} SELECT * REPLACE ({_sig('mean')} AS mean) FROM means",
     ),
     "component_moments": (
         lambda spark, d: _rounded(c.moments(c.long(_obs(spark, d))), "mean", "median", "q10", "q90").drop("missing_documents", "unavailable_components"),
-        f"""WITH {_ROWS} SELECT split, source, condition, feature_id, count(mean) AS components, round(avg(mean), 9) + 0.0 AS mean, round(quantile_cont(mean, 0.5), 9) + 0.0 AS median,
-round(quantile_cont(mean, 0.1), 9) + 0.0 AS q10, round(quantile_cont(mean, 0.9), 9) + 0.0 AS q90 FROM means GROUP BY ALL""",
+        f"""WITH {_ROWS} SELECT split, source, condition, feature_id, count(mean) AS components, {_sig('avg(mean)')} AS mean, {_sig('quantile_cont(mean, 0.5)')} AS median,
+{_sig('quantile_cont(mean, 0.1)')} AS q10, {_sig('quantile_cont(mean, 0.9)')} AS q90 FROM means GROUP BY ALL""",
     ),
     "missing_accounting": (
         lambda spark, d: c.moments(c.long(_obs(spark, d))).select(*c._KEYS, "missing_documents", "unavailable_components"),
@@ -57,7 +65,7 @@ round(quantile_cont(mean, 0.1), 9) + 0.0 AS q10, round(quantile_cont(mean, 0.9),
     ),
     "paired_contrast": (
         lambda spark, d: _rounded(c.contrasts(c.long(_obs(spark, d))), "human_minus_chatgpt"),
-        f"WITH {_ROWS}, {_DIFF} SELECT split, source, feature_id, count(*) AS paired_components, round(avg(d), 9) + 0.0 AS human_minus_chatgpt FROM diffs GROUP BY ALL",
+        f"WITH {_ROWS}, {_DIFF} SELECT split, source, feature_id, count(*) AS paired_components, {_sig('avg(d)')} AS human_minus_chatgpt FROM diffs GROUP BY ALL",
     ),
     "bootstrap_ci": (lambda spark, d: c.bootstrap(c.long(_obs(spark, d))), None),
 }

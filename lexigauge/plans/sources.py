@@ -10,7 +10,7 @@ from ..operators import components as c
 from ..sources.files import verified
 from ..sources.tables import table
 from ..streaming.uploads import assembled
-from .components import _DIFF, _ROWS, _obs
+from .components import _DIFF, _ROWS, _obs, _sig, significant
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -29,8 +29,8 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _card(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.contrasts(c.long(_obs(spark, d))).where("source = 'web'").select("split", "feature_id", F.col("human_minus_chatgpt").alias("difference"), (F.col("paired_components") >= 2).alias("supported"))
-    return cards.general(rows.where("split = 'TRAIN'"), rows.where("split = 'DEV'")).select("feature_id", F.round("train", 9).alias("train"), F.round("dev", 9).alias("dev"), "same_sign")
+    rows = c.contrasts(c.long(_obs(spark, d))).select("split", F.concat_ws("/", "source", "feature_id").alias("feature_id"), F.col("human_minus_chatgpt").alias("difference"), (F.col("paired_components") >= 2).alias("supported"))
+    return cards.general(rows.where("split = 'TRAIN'"), rows.where("split = 'DEV'")).select("feature_id", significant(F.col("train")).alias("train"), significant(F.col("dev")).alias("dev"), "same_sign")
 
 
 QUERIES = {
@@ -46,9 +46,14 @@ QUERIES = {
         _manifest,
         "SELECT doc_id::VARCHAR AS name, CASE doc_id % 10 WHEN 3 THEN 'missing' WHEN 4 THEN 'unlisted' WHEN 5 THEN 'changed' ELSE 'ok' END AS state FROM documents WHERE text IS NOT NULL",
     ),
+    "card_mismatches": (
+        lambda spark, d: cards.unmatched(*(c.contrasts(c.long(_obs(spark, d))).where((F.col("split") == split) & (F.col("paired_components") >= 10)).select(F.concat_ws("/", "source", "feature_id").alias("feature_id")) for split in ("TRAIN", "DEV"))),
+        f"""WITH {_ROWS}, {_DIFF}, x AS (SELECT split, source || '/' || feature_id AS feature_id FROM diffs GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT feature_id, CASE min(split) WHEN 'TRAIN' THEN 'train' ELSE 'dev' END AS side FROM x GROUP BY 1 HAVING count(*) = 1""",
+    ),
     "contrast_card": (
         _card,
-        f"""WITH {_ROWS}, {_DIFF}, x AS (SELECT split, feature_id, count(*) AS n, avg(d) AS m FROM diffs WHERE source = 'web' GROUP BY 1, 2)
-SELECT a.feature_id, round(a.m, 9) AS train, round(b.m, 9) AS dev, sign(a.m) = sign(b.m) AS same_sign FROM x a JOIN x b USING (feature_id) WHERE a.split = 'TRAIN' AND b.split = 'DEV' AND a.n >= 2 AND b.n >= 2""",
+        f"""WITH {_ROWS}, {_DIFF}, x AS (SELECT split, source || '/' || feature_id AS feature_id, count(*) AS n, avg(d) AS m FROM diffs GROUP BY 1, 2)
+SELECT a.feature_id, {_sig('a.m')} AS train, {_sig('b.m')} AS dev, sign(a.m) = sign(b.m) AS same_sign FROM x a JOIN x b USING (feature_id) WHERE a.split = 'TRAIN' AND b.split = 'DEV' AND a.n >= 2 AND b.n >= 2""",
     ),
 }
