@@ -123,7 +123,7 @@ def test_papers(spark):
 
 def test_proofs(spark):
     n = spark.createDataFrame([("g", x, i, "lemma") for i, x in enumerate("abcde")] + [("h", "a", 0, "remark"), ("h", "b", 1, "lemma")], "graph string, node string, pos long, kind string")
-    e = spark.createDataFrame([("g", "a", "c", "application", "r", "explicit"), ("g", "b", "c", "guess", "r", "explicit"), ("g", "c", "d", "estimate", " ", "explicit"), ("h", "a", "b", "estimate", "r", "explicit"), ("h", "b", "a", "estimate", "r", "other"), ("h", "b", "b", "estimate", "r", "explicit"), ("h", "b", "z", "estimate", "r", "explicit")], "graph string, src string, dst string, kind string, role string, basis string")
+    e = spark.createDataFrame([("g", "a", "c", "application", "r", "explicit_source"), ("g", "b", "c", "guess", "r", "explicit_source"), ("g", "c", "d", "estimate", " ", "explicit_source"), ("h", "a", "b", "estimate", "r", "explicit_source"), ("h", "b", "a", "estimate", "r", "explicit"), ("h", "b", "b", "estimate", "r", "explicit_source"), ("h", "b", "z", "estimate", "r", "explicit_source")], "graph string, src string, dst string, kind string, role string, basis string")
     assert {(r.src, r.dst): r.problem for r in proofs.edge_problems(n, e).collect()} == {("b", "c"): "kind", ("c", "d"): "role", ("b", "a"): "basis", ("b", "b"): "self", ("b", "z"): "unknown_node"}
     place = {(r.graph, r.node): r.place for r in proofs.ordered(n, e).collect()}
     assert [x for _, x in sorted((place["g", x], x) for x in "abcde")] == list("abecd") and place["h", "a"] is None and place["h", "b"] is None
@@ -163,10 +163,42 @@ def test_parse_coverage(spark):
 
 
 def test_receipts(spark):
-    five = [(f"c{i}", "pass") for i in range(5)]
-    reviews = spark.createDataFrame([("g", "x", "y", five), ("h", "old", "y", five), ("i", "x", "old", five), ("j", "x", "y", five[:4]), ("k", "x", "y", [*five[:4], ("c9", "maybe")]), ("z", "x", "y", five), ("n", None, "y", five)], "graph string, candidate_sha256 string, reconstruction_sha256 string, checks array<struct<id:string,status:string>>")
-    now = spark.createDataFrame([(g, "x", "y") for g in "ghijkn"], "graph string, candidate_sha256 string, reconstruction_sha256 string")
-    assert {r.graph: r.problem for r in proofs.receipt_problems(reviews, now).collect()} == {"h": "stale_candidate", "i": "stale_reconstruction", "j": "checks", "k": "status", "z": "unknown_graph", "n": "stale_candidate"}
+    def checks(names=proofs.REVIEW_CHECKS, status="pass", quote="aft", reason="why", evidence=("a",)):
+        return [(n, status, 3, 6, quote, reason, list(evidence)) for n in names]
+
+    c, five = "the draft"[1:], proofs.REVIEW_CHECKS
+    quote = {"quote": c[3:6]}
+    sha = hashlib.sha256(c.encode()).hexdigest()
+    rows = {
+        "g": ("d", sha, "y", checks(**quote)), "h": ("d", "old", "y", checks(**quote)), "i": ("d", sha, "old", checks(**quote)), "j": ("d", sha, "y", checks(five[:4], **quote)),
+        "k": ("d", sha, "y", checks(status="uncertain", **quote)), "z": ("d", sha, "y", checks(**quote)), "n": ("d", None, "y", checks(**quote)), "o": ("other", sha, "y", checks(**quote)),
+        "p": ("d", sha, "y", checks((*five[:4], "five"), **quote)), "q": ("d", sha, "y", checks(quote="drift")), "r": ("d", sha, "y", checks(reason=" ", **quote)), "s": ("d", sha, "y", checks(evidence=(), **quote)),
+        "t": ("d", sha, "y", checks(status="fail", **quote)), "u": ("d", sha, "y", None),
+    }
+    reviews = spark.createDataFrame([(g, *r) for g, r in rows.items()], "graph string, document_id string, candidate_sha256 string, reconstruction_sha256 string, checks array<struct<id:string,status:string,start:int,end:int,quote:string,reason:string,evidence:array<string>>>")
+    now = spark.createDataFrame([(g, "d", c, "y") for g in "ghijknopqrstuv"], "graph string, document_id string, candidate string, reconstruction_sha256 string")
+    assert {r.graph: r.problem for r in proofs.receipt_problems(reviews, now).collect()} == {
+        "h": "stale_candidate", "i": "stale_reconstruction", "j": "checks", "k": "status", "z": "unknown_graph", "n": "stale_candidate", "o": "stale_candidate", "p": "checks", "q": "quote_or_reason",
+        "r": "quote_or_reason", "s": "evidence", "u": "checks",
+    }
+    assert {r.graph for r in proofs.accepted(reviews, now).collect() if r.accepted} == {"g"} and proofs.accepted(reviews, now.limit(0)).count() == 0
+
+
+def test_findings(spark):
+    claims = spark.createDataFrame(
+        [("g", 1, "author_motivation", "explicit_source", [(False,)]), ("g", 2, "innovation", "reconstruction", [(False,)]), ("g", 3, "historical_origin", "explicit_source", [(False,)]),
+         ("g", 4, "historical_origin", "explicit_source", [(False,), (True,)]), ("g", 5, "limitation", "unverified", None), ("g", 6, "mathematical_motivation", "reconstruction", [(False,)])],
+        "graph string, claim_id int, kind string, basis string, evidence array<struct<external:boolean>>",
+    )
+    assert {(r.claim_id, r.finding) for r in proofs.claim_findings(claims).collect()} == {(2, "unsupported_attribution"), (3, "primary_source_not_checked"), (5, "unverified_claim")}
+    n = spark.createDataFrame([("g", x, i, k) for i, (x, k) in enumerate(zip("abcdefg", ["lemma", "lemma", "definition", "lemma", "lemma", "lemma", "lemma"]))], "graph string, node string, pos long, kind string")
+    e = spark.createDataFrame([("g", "a", "d")], "graph string, src string, dst string")
+    cover = spark.createDataFrame([("g", "a", "reviewed", None), ("g", "b", "reviewed", "seen"), ("g", "c", "reviewed", None), ("g", "d", "reviewed", None), ("g", "e", "assumed", None), ("g", "f", "gap", "n"), ("g", "g", "checked", None)], "graph string, node string, status string, note string")
+    assert {(r.node, r.finding) for r in proofs.coverage_findings(n.select("graph", "node"), n, e, cover).collect()} == {("a", "leaf_result_needs_review"), ("e", "proof_assumed"), ("f", "proof_gap"), ("g", "missing_proof_review")}
+    made = proofs.reconstructions(n.select("graph").distinct(), proofs.ordered(n, e), n.select("graph", "node").where("node in ('a', 'd')"), spark.createDataFrame([("g", "x", "a")], "graph string, finding string, about string")).first()
+    assert made.prerequisite_order == ["a", "d"] and made.excluded == ["b", "c", "e", "f", "g"] and len(made.reconstruction_sha256) == 64
+    ranges = spark.createDataFrame([("g", 2, 4), ("g", 2, 3), ("g", 3, 6)], "graph string, start long, end long")
+    assert [(r.start, r.end) for r in proofs.reading_findings(ranges, spark.createDataFrame([("g", 9)], "graph string, length long")).orderBy("start").collect()] == [(0, 2), (6, 9)]
 
 
 CHUNKS = "upload_id string, idx int, total int, text string, format string, source string"
