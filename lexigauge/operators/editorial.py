@@ -5,9 +5,13 @@ Nothing here rates prose: findings are places to look at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,50 +45,90 @@ _DISPLAY = re.compile(r"\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|dis
 DISPLAY_LIMIT = 3
 
 
-def _blank(m: re.Match) -> str:
-    return " " * len(m[0])
+#: Kinds of protected parts by what they start with.
+_STARTS = (("$$", "display"), ("\\[", "display"), ("$", "inline"), ("\\(", "inline"), (">", "quote"), ("http", "address"))
+
+
+class Scan:
+    """One pass over a text: its protected parts by kind, and the rest at the same places."""
+
+    def __init__(self, text: str):
+        self.text, self.parts, pieces, at = text, [], [], 0
+        for m in PROTECTED.finditer(text):
+            a, b = m.span()
+            self.parts.append((next((kind for start, kind in _STARTS if text.startswith(start, a)), "code"), a, b))
+            pieces += [text[at:a], " " * (b - a)]
+            at = b
+        self.prose = "".join([*pieces, text[at:]])
+
+    def literals(self) -> list[str]:
+        """The protected parts as they stand."""
+        return [self.text[a:b] for _, a, b in self.parts]
+
+    def environments(self) -> list[tuple[int, int]]:
+        """Display environments outside protected parts."""
+        return [m.span() for m in _DISPLAY.finditer(self.prose)] if "\\begin{" in self.prose else []
+
+    def displays(self) -> list[tuple[int, int]]:
+        """Ranges of displayed mathematics by start; an inline formula alone on its line counts."""
+        breaks = [-1, *(i for i, c in enumerate(self.text) if c == "\n"), len(self.text)] if any(k == "inline" for k, _, _ in self.parts) else []
+
+        def alone(a: int, b: int) -> bool:
+            before, after = breaks[bisect_left(breaks, a) - 1], breaks[bisect_left(breaks, b)]
+            return not (self.text[before + 1 : a].strip() or self.text[b:after].strip())
+
+        shown = [(a, b) for kind, a, b in self.parts if kind == "display" or (kind == "inline" and alone(a, b))]
+        return sorted(shown + self.environments(), key=lambda r: r[0])
+
+    def matches(self, patterns: dict[str, re.Pattern], without_displays: bool = False) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of patterns in the prose, kind by kind."""
+        body = self.prose
+        if without_displays:
+            for a, b in self.environments():
+                body = body[:a] + " " * (b - a) + body[b:]
+        return [(kind, *m.span()) for kind, pattern in patterns.items() for m in pattern.finditer(body)]
+
+    def counts(self) -> tuple[Counter, Counter, Counter]:
+        """Quantities, words of logic and formula signs."""
+        return Counter(QUANTITY.findall(self.prose)), Counter(LOGIC.findall(self.prose)), Counter(c for c in self.text if c in SYMBOLS)
+
+    def repeated(self) -> list[tuple[str, int]]:
+        """Paragraphs of prose that stand more than once, and how often."""
+        return [(p, n) for p, n in Counter(map(str.strip, re.split(r"\n\s*\n", self.prose))).items() if p and n > 1]
+
+
+_SOFT = {kind: re.compile(p, re.I) for kind, p in SOFT.items()}
+_PRESENTATION = {kind: re.compile(p, re.I) for kind, p in PRESENTATION.items()}
+_UNSEEN = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", INVISIBLE))
 
 
 def protected(text: str) -> list[str]:
     """Code, mathematics, quoted lines and addresses, in order."""
-    return [m[0] for m in PROTECTED.finditer(text)]
+    return Scan(text).literals()
 
 
 def prose(text: str) -> str:
     """The text with protected parts blanked at the same length."""
-    return PROTECTED.sub(_blank, text)
+    return Scan(text).prose
 
 
 def displays(text: str) -> list[tuple[int, int]]:
     """Ranges of displayed mathematics, by start."""
-    found = []
-    for m in PROTECTED.finditer(text):
-        inline = m[0].startswith(("$", "\\("))
-        if m[0].startswith(("$$", "\\[")):
-            found.append(m.span())
-        elif inline:
-            left = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-            right = text[m.end() :].split("\n", 1)[0]
-            if not left.strip() and not right.strip():
-                found.append(m.span())
-    found += [m.span() for m in _DISPLAY.finditer(prose(text))]
-    return sorted(found, key=lambda s: s[0])
-
-
-def presentation(text: str) -> list[tuple[str, int | None, int | None]]:
+    return Scan(text).displays()
+
+
+def presentation(text: str | Scan) -> list[tuple[str, int | None, int | None]]:
     """(finding, start, end): displays beyond the budget, adjacent displays, staged questions and turns."""
-    spans, out = displays(text), []
-    if len(spans) > DISPLAY_LIMIT:
-        out.append(("display_math_budget_exceeded", None, None))
-    out += [("adjacent_display_math", a[0], b[1]) for a, b in zip(spans, spans[1:]) if not text[a[1] : b[0]].strip()]
-    body = _DISPLAY.sub(_blank, prose(text))
-    return out + [(kind, *m.span()) for kind, pattern in PRESENTATION.items() for m in re.finditer(pattern, body, re.I)]
+    own = text if isinstance(text, Scan) else Scan(text)
+    shown = own.displays()
+    over = [("display_math_budget_exceeded", None, None)] * (len(shown) > DISPLAY_LIMIT)
+    close = [("adjacent_display_math", a, d) for (a, b), (c, d) in pairwise(shown) if not own.text[b:c].strip()]
+    return over + close + own.matches(_PRESENTATION, True)
 
 
 def soft(text: str) -> list[tuple[str, int | None, int | None]]:
     """(kind, start, end) of soft patterns outside protected parts."""
-    body = prose(text)
-    return [(kind, *m.span()) for kind, pattern in SOFT.items() for m in re.finditer(pattern, body, re.I)]
+    return Scan(text).matches(_SOFT)
 
 
 def findings(documents: DataFrame, find) -> DataFrame:
@@ -101,7 +145,7 @@ def findings(documents: DataFrame, find) -> DataFrame:
 
 def protected_spans(documents: DataFrame) -> DataFrame:
     """``(doc_id, kind, start_cp, end_cp)`` of protected parts."""
-    return findings(documents, lambda t: [("protected", *m.span()) for m in PROTECTED.finditer(t)])
+    return findings(documents, lambda t: Scan(t).parts)
 
 
 def presentation_findings(documents: DataFrame) -> DataFrame:
@@ -163,35 +207,61 @@ def lock_counts(pairs: DataFrame, locks: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(documents: DataFrame) -> DataFrame:
-    """``(doc_id, paragraph_sha256, n)``: paragraphs between blank lines that stand more than once."""
-    parts = documents.where("text is not null").select("doc_id", F.explode(F.split("text", r"\n[ \t\r\f\x0b]*\n")).alias("p")).select("doc_id", F.regexp_replace("p", r"^[ \t-\r]+|[ \t-\r]+\z", "").alias("p"))
-    return parts.where("p <> ''").groupBy("doc_id", F.sha2("p", 256).alias("paragraph_sha256")).agg(F.count("*").alias("n")).where("n > 1")
+    """``(doc_id, paragraph_sha256, n)``: paragraphs of prose, between blank lines, that stand more than once."""
+    rows = documents.where("text is not null").select("doc_id", "text")
+    return _mapped(rows, "doc_id", "paragraph_sha256 string, n long", lambda text: [(hashlib.sha256(p.encode()).hexdigest(), n) for p, n in Scan(text).repeated()])
+
+
+def _mapped(rows: DataFrame, key: str, columns: str, make) -> DataFrame:
+    """``make`` of the other columns of each row, null as empty; each gives any number of rows."""
+    names, others = [c.split()[0] for c in columns.split(", ")], [c for c in rows.columns if c != key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(k, *row) for k, *values in zip(frame[key], *(frame[c] for c in others)) for row in make(*(v or "" for v in values))]
+            yield pd.DataFrame(out, columns=[key, *names])
 
+    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {columns}")
 
-def review(pairs: DataFrame) -> DataFrame:
-    """``(pair_id, protected_changed, n_quantity, n_logic, n_symbol, n_soft, n_presentation, status)``.
 
-    Blocked if protected parts differ, in any order; review if anything else is found. A null text counts as empty.
+def prose_diff(pairs: DataFrame, what: str) -> DataFrame:
+    """``(pair_id, item, removed, added)`` of the "quantity", "logic" or "symbol" items of ``original`` and ``candidate``.
+
+    Quantities and words of logic are read outside protected parts, signs everywhere. Items as often in both are left out; a null text has none.
     """
-    def one(a: str, b: str) -> tuple:
-        from collections import Counter
+    which = ("quantity", "logic", "symbol").index(what)
 
-        old, new = prose(a), prose(b)
-        diff = lambda x, y: sum((Counter(x) - Counter(y)).values()) + sum((Counter(y) - Counter(x)).values())
-        blocked = protected(a) != protected(b)
-        counts = (
-            diff(QUANTITY.findall(old), QUANTITY.findall(new)), diff(LOGIC.findall(old), LOGIC.findall(new)),
-            diff([c for c in a if c in SYMBOLS], [c for c in b if c in SYMBOLS]), len(soft(b)), len(presentation(b)),
-        )
-        return blocked, *counts, "BLOCKED_PROTECTED_CHANGE" if blocked else "REVIEW_REQUIRED" if any(counts) else "NO_MECHANICAL_FINDINGS"
+    def make(a: str, b: str) -> list[tuple[str, int, int]]:
+        old, new = Scan(a).counts()[which], Scan(b).counts()[which]
+        return [(item, old[item] - new[item] if old[item] > new[item] else 0, max(0, new[item] - old[item])) for item in sorted({*old, *new}) if old[item] != new[item]]
 
-    names = ["protected_changed", "n_quantity", "n_logic", "n_symbol", "n_soft", "n_presentation", "status"]
+    return _mapped(pairs.select("pair_id", "original", "candidate"), "pair_id", "item string, removed long, added long", make)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame([one(a or "", b or "") for a, b in zip(frame["original"], frame["candidate"])], columns=names)
-            out.insert(0, "pair_id", frame["pair_id"].to_numpy())
-            yield out
 
-    rows = pairs.select("pair_id", "original", "candidate")
-    return rows.mapInPandas(run, f"pair_id {rows.schema['pair_id'].dataType.simpleString()}, protected_changed boolean, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", status string")
+_REVIEW = ("n_quantity", "n_logic", "n_symbol", "n_invisible", "n_soft", "n_repeated", "n_presentation")
+
+
+def review(pairs: DataFrame, locks: tuple[str, ...] = ()) -> DataFrame:
+    """``(pair_id, protected_changed, locks_changed, n_quantity, n_logic, n_symbol, n_invisible, n_soft, n_repeated, n_presentation, status)``.
+
+    "BLOCKED_PROTECTED_CHANGE" if protected parts differ, in any order, or a literal of ``locks`` stands another number of
+    times; "REVIEW_REQUIRED" if anything else is found; else "NO_MECHANICAL_FINDINGS". A lock that the original lacks makes
+    the pair "LOCK_ABSENT". A null text counts as empty. Both texts are scanned once.
+    """
+    if not all(isinstance(x, str) and x for x in locks):
+        raise ValueError("every lock must be a string that is not empty")
+
+    def make(a: str, b: str) -> list[tuple]:
+        old, new = Scan(a), Scan(b)
+        blocked = old.literals() != new.literals()
+        changed = sum(a.count(x) != b.count(x) for x in locks)
+        diffs = (sum(((x - y) + (y - x)).values()) for x, y in zip(old.counts(), new.counts()))
+        found = (*diffs, len(_UNSEEN.findall(b)), len(new.matches(_SOFT)), len(new.repeated()), len(presentation(new)))
+        if any(x not in a for x in locks):
+            status = "LOCK_ABSENT"
+        else:
+            status = "BLOCKED_PROTECTED_CHANGE" if blocked or changed else "REVIEW_REQUIRED" if any(found) else "NO_MECHANICAL_FINDINGS"
+        return [(blocked, changed, *found, status)]
+
+    columns = "protected_changed boolean, locks_changed long, " + ", ".join(f"{n} long" for n in _REVIEW) + ", status string"
+    return _mapped(pairs.select("pair_id", "original", "candidate"), "pair_id", columns, make)

@@ -162,6 +162,19 @@ def test_parse_coverage(spark):
     assert set(got) == {"a", "b"} and (got["a"].n_parses, got["a"].n_repeated, got["a"].n_missing, got["a"].complete) == (3, 1, 1, False) and got["b"].complete
 
 
+def test_review_counts_all_that_lint_does(spark):
+    rows = [(1, "a", "a\u202eb"), (2, "a", "x y\n\nx y"), (3, "keep it", "kept"), (4, "a $x$", "a $y$"), (5, "a", "a"), (6, None, None), (7, "at most 3 `4`", "at most 5 `4`"), (8, "no lock", "no lock")]
+    pairs = spark.createDataFrame(rows, "pair_id long, original string, candidate string")
+    got = {r.pair_id: r for r in editorial.review(pairs).collect()}
+    assert {k: r.status.split("_")[0] for k, r in got.items()} == {1: "REVIEW", 2: "REVIEW", 3: "NO", 4: "BLOCKED", 5: "NO", 6: "NO", 7: "REVIEW", 8: "NO"}
+    assert (got[1].n_invisible, got[2].n_repeated, got[7].n_quantity) == (1, 1, 2)
+    locked = {r.pair_id: r.status for r in editorial.review(pairs.where("pair_id in (3, 8)"), ("keep",)).collect()}
+    assert locked == {3: "BLOCKED_PROTECTED_CHANGE", 8: "LOCK_ABSENT"} and editorial.review(pairs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        editorial.review(pairs, ("",))
+    assert {(r.item, r.removed, r.added) for r in editorial.prose_diff(pairs.where("pair_id = 7"), "quantity").collect()} == {("3", 1, 0), ("5", 0, 1)}
+
+
 def test_receipts(spark):
     def checks(names=proofs.REVIEW_CHECKS, status="pass", quote="aft", reason="why", evidence=("a",)):
         return [(n, status, 3, 6, quote, reason, list(evidence)) for n in names]
