@@ -45,6 +45,13 @@ DEPENDENT = (*(f"deprel.{r}" for r in RELATIONS), *_GEOMETRY, *_SYNTAX)
 HISTORICAL = ("lexical.content_overlap", "lexical.trigram_reuse", "syntax.initial_pos_reuse")
 
 
+def family(channel: str) -> str:
+    """The family of a channel."""
+    fixed = {"lexical.mattr100": "lexical_reuse", "lexical.entropy100": "lexical_reuse", "upos.bigram_entropy100": "upos_sequence"}
+    start = {"upos": "upos_composition", "deprel": "dependency_composition", "word_length": "lexical_shape", "word": "lexical_shape", "lexical": "lexical_reuse", "dependency": "dependency_geometry", "syntax": "syntactic_configuration", "cue": "closed_class_cues"}
+    return fixed.get(channel) or start[channel.split(".")[0]]
+
+
 def lexical(tokens: DataFrame) -> DataFrame:
     """Tokens that are no punctuation, with their rank in the sentence."""
     kept = tokens.where((F.col("upos") != "PUNCT") & ~F.col("form").rlike(r"^[\p{P}\s]*$"))
@@ -91,11 +98,15 @@ def _ratios(pairs: dict[str, tuple[Column, Column]]) -> list[Column]:
     return [F.struct(F.lit(k).alias("channel"), a.cast("double").alias("numerator"), b.cast("double").alias("denominator")) for k, (a, b) in pairs.items()]
 
 
-def shares(tokens: DataFrame) -> DataFrame:
-    """Class, relation, shape and cue channels: ``(doc_id, channel, numerator, denominator)``."""
+_DOCUMENT = ("doc_id",)
+
+
+def shares(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
+    """Class, relation, shape and cue channels: ``(*by, channel, numerator, denominator)``."""
     words = lexical(tokens)
     heads = words.select("doc_id", "sent", F.col("id").alias("head"), F.lit(True).alias("lexical_head"))
-    both = words.join(heads, ["doc_id", "sent", "head"], "left").withColumn("arc", F.coalesce("lexical_head", F.lit(False))).withColumn("rel", F.element_at(F.split("deprel", ":"), 1))
+    both = words.join(heads, ["doc_id", "sent", "head"], "left").withColumn("rel", F.element_at(F.split("deprel", ":"), 1))
+    both = both.withColumn("arc", F.coalesce(F.col("lexical_head") & (F.col("rel") != "punct"), F.lit(False)))
 
     def n(c: Column) -> Column:
         return F.sum(F.coalesce(c, F.lit(False)).cast("long"))
@@ -109,19 +120,23 @@ def shares(tokens: DataFrame) -> DataFrame:
         "word.single_han": (n(F.col("form").rlike(r"^\p{IsHan}$")), t), "word.latin": (n(F.col("form").rlike(r"[\p{IsLatin}&&\p{L}]")), t), "word.decimal_digit": (n(F.col("form").rlike(r"\p{Nd}")), t),
         **{f"cue.{k}": (n(F.col("form").isin(*forms) & F.col("upos").isin(*pos)), t) for k, (pos, forms) in CUES.items()},
     }
-    flat = both.groupBy("doc_id").agg(*(a.alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
+    flat = both.groupBy(*by).agg(*(a.alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
     named = {k: (F.col(f"a{i}"), F.col(f"b{i}")) for i, k in enumerate(sums)}
-    return flat.select("doc_id", F.explode(F.array(*_ratios(named))).alias("x")).select("doc_id", "x.*")
+    return flat.select(*by, F.explode(F.array(*_ratios(named))).alias("x")).select(*by, "x.*")
+
 
+def dependencies(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
+    """Geometry and configuration channels: ``(*by, channel, numerator, denominator)``.
 
-def dependencies(tokens: DataFrame) -> DataFrame:
-    """Geometry and configuration channels: ``(doc_id, channel, numerator, denominator)``; medians have denominator 1."""
+    Counts per sentence are over all sentences, also those of punctuation only. The denominator of a median is the number of its
+    sentences, and its numerator the median times that.
+    """
     words = lexical(tokens).withColumn("rel", F.element_at(F.split("deprel", ":"), 1)).withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "sent")))
     heads = words.select("doc_id", "sent", F.col("id").alias("head"), F.col("rank").alias("head_rank"))
-    subjects = words.where("rel in ('nsubj', 'csubj')").select("doc_id", "sent", F.col("head").alias("id"), F.lit(True).alias("has_subject")).distinct()
+    subjects = tokens.withColumn("rel", F.element_at(F.split("deprel", ":"), 1)).where("rel in ('nsubj', 'csubj')").select("doc_id", "sent", F.col("head").alias("id"), F.lit(True).alias("has_subject")).distinct()
     deep = depths(tokens)
     full = words.join(heads, ["doc_id", "sent", "head"], "left").join(deep, ["doc_id", "sent", "id"], "left").join(subjects, ["doc_id", "sent", "id"], "left")
-    arc, span = F.col("head_rank").isNotNull(), F.abs(F.col("rank") - F.col("head_rank"))
+    arc, span = F.col("head_rank").isNotNull() & (F.col("rel") != "punct"), F.abs(F.col("rank") - F.col("head_rank"))
 
     def n(c: Column) -> Column:
         return F.sum(F.coalesce(c, F.lit(False)).cast("long"))
@@ -131,20 +146,24 @@ def dependencies(tokens: DataFrame) -> DataFrame:
     noun, modifier = F.col("upos").isin("NOUN", "PROPN"), arc & F.col("rel").isin("amod", "nmod", "acl", "advmod")
     verb_root = root & (F.col("upos") == "VERB")
     sums = {
-        "dependency.span_mean": (F.sum(span), n(arc)), "dependency.span_normalized": (F.sum(span / F.greatest(F.col("size") - 1, F.lit(1))), n(arc)), "dependency.depth_mean": (F.sum("depth"), F.count("*")),
-        "syntax.predicate_heads": (n(predicate), F.countDistinct("sent")), "syntax.subordinate_arcs": (F.lit(100) * n(arc & F.col("rel").isin("ccomp", "xcomp", "advcl", "acl")), F.countDistinct("sent")),
+        "dependency.span_mean": (F.sum(F.when(arc, span)), n(arc)), "dependency.span_normalized": (F.sum(F.when(arc, span / F.greatest(F.col("size") - 1, F.lit(1)))), n(arc)), "dependency.depth_mean": (F.sum("depth"), F.count("*")),
+        "syntax.predicate_heads": (n(predicate), F.lit(0)), "syntax.subordinate_arcs": (F.lit(100) * n(arc & F.col("rel").isin("ccomp", "xcomp", "advcl", "acl")), F.lit(0)),
         "syntax.predicate_conj_share": (n(predicate & (F.col("rel") == "conj")), n(predicate)), "syntax.nominal_modifier_size": (F.sum(F.when(noun, F.col("below"))), n(noun)),
         "syntax.verb_root_without_subject": (n(verb_root & F.col("has_subject").isNull()), n(verb_root)), "syntax.preposed_modifiers": (n(modifier & (F.col("rank") < F.col("head_rank"))), n(modifier)),
     }
-    flat = full.groupBy("doc_id").agg(*(F.coalesce(a, F.lit(0)).alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
-    named = {k: (F.col(f"a{i}"), F.col(f"b{i}")) for i, k in enumerate(sums)}
-    most = full.groupBy("doc_id", "sent").agg(F.max("depth").alias("m")).groupBy("doc_id").agg(F.median("m").alias("numerator"))
-    rows = flat.select("doc_id", F.explode(F.array(*_ratios(named))).alias("x")).select("doc_id", "x.*")
-    return rows.unionByName(most.select("doc_id", F.lit("dependency.maxdepth_median").alias("channel"), "numerator", F.lit(1.0).alias("denominator")))
+    flat = full.groupBy(*by).agg(*(F.coalesce(a, F.lit(0)).alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
+    flat = tokens.groupBy(*by).agg(F.countDistinct("sent").alias("sents")).join(flat, list(by), "left").na.fill(0)
+    named = {k: (F.col(f"a{i}"), F.col("sents") if k in _PER_SENTENCE else F.col(f"b{i}")) for i, k in enumerate(sums)}
+    most = full.groupBy(*by, "sent" if "sent" not in by else "comp").agg(F.max("depth").alias("m")).groupBy(*by).agg(F.median("m").alias("median"), F.count("m").cast("double").alias("denominator"))
+    rows = flat.select(*by, F.explode(F.array(*_ratios(named))).alias("x")).select(*by, "x.*")
+    return rows.unionByName(most.select(*by, F.lit("dependency.maxdepth_median").alias("channel"), (F.col("median") * F.col("denominator")).alias("numerator"), "denominator"))
+
+
+_PER_SENTENCE = ("syntax.predicate_heads", "syntax.subordinate_arcs")
 
 
-def reuse(tokens: DataFrame) -> DataFrame:
-    """Overlap of neighbours and reuse of trigrams and of sentence starts: ``(doc_id, channel, numerator, denominator)``.
+def reuse(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
+    """Overlap of neighbours and reuse of trigrams and of sentence starts: ``(*by, channel, numerator, denominator)``.
 
     Only sentences of one component are compared; "earlier" means an earlier sentence of it.
     """
@@ -152,27 +171,28 @@ def reuse(tokens: DataFrame) -> DataFrame:
     spot = Window.partitionBy("doc_id", "sent").orderBy("id")
     tri = words.select("doc_id", "comp", "sent", "form", F.lead("form", 1).over(spot).alias("f2"), F.lead("form", 2).over(spot).alias("f3")).where("f3 is not null")
     first = F.min("sent").over(Window.partitionBy("doc_id", "comp", "form", "f2", "f3"))
-    trigrams = tri.select("doc_id", (first < F.col("sent")).alias("hit")).groupBy("doc_id").agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
+    trigrams = tri.select("doc_id", "sent", (first < F.col("sent")).alias("hit")).groupBy(*by).agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
 
     starts = words.where("rank <= 3").groupBy("doc_id", "comp", "sent").agg(F.sort_array(F.collect_list(F.struct("rank", "upos"))).alias("s")).where("size(s) = 3").withColumn("s", F.concat_ws(" ", "s.upos"))
     order = Window.partitionBy("doc_id", "comp").orderBy("sent")
-    marked = starts.select("doc_id", F.row_number().over(order).alias("k"), (F.min("sent").over(Window.partitionBy("doc_id", "comp", "s")) < F.col("sent")).alias("hit")).where("k > 1")
-    initial = marked.groupBy("doc_id").agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
+    marked = starts.select("doc_id", "sent", F.row_number().over(order).alias("k"), (F.min("sent").over(Window.partitionBy("doc_id", "comp", "s")) < F.col("sent")).alias("hit")).where("k > 1")
+    initial = marked.groupBy(*by).agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
 
-    sets = tokens.groupBy("doc_id", "comp", "sent").agg(F.collect_set(F.when(F.col("upos").isin("NOUN", "PROPN", "VERB", "ADJ"), F.col("form"))).alias("k"))
-    near = sets.select("doc_id", "sent", "k", F.lead("k").over(order).alias("l"), F.lead("sent").over(order).alias("after")).where("after = sent + 1 and size(array_union(k, l)) > 0")
-    overlap = near.groupBy("doc_id").agg(F.sum(F.size(F.array_intersect("k", "l")) / F.size(F.array_union("k", "l"))).alias("numerator"), F.count("*").cast("double").alias("denominator"))
+    content = F.col("upos").isin("NOUN", "PROPN", "VERB", "ADJ") & ~F.col("form").rlike(r"^[\p{P}\s]*$")
+    sets = tokens.groupBy("doc_id", "comp", "sent").agg(F.collect_set(F.when(content, F.col("form"))).alias("k"))
+    near = sets.select("doc_id", "sent", "k", F.lag("k").over(order).alias("l"), F.lag("sent").over(order).alias("before")).where("before = sent - 1 and size(array_union(k, l)) > 0")
+    overlap = near.groupBy(*by).agg(F.sum(F.size(F.array_intersect("k", "l")) / F.size(F.array_union("k", "l"))).alias("numerator"), F.count("*").cast("double").alias("denominator"))
     parts = (("lexical.trigram_reuse", trigrams), ("syntax.initial_pos_reuse", initial), ("lexical.content_overlap", overlap))
     out = None
     for name, df in parts:
-        row = df.select("doc_id", F.lit(name).alias("channel"), "numerator", "denominator")
+        row = df.select(*by, F.lit(name).alias("channel"), "numerator", "denominator")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def windowed(tokens: DataFrame, k: int = 100) -> DataFrame:
+def windowed(tokens: DataFrame, k: int = 100, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
     """Type share and entropies over all windows of ``k`` tokens of a component, with counts kept as the window slides."""
-    rows = lexical(tokens).groupBy("doc_id", "comp").agg(F.sort_array(F.collect_list(F.struct("sent", "id", "form", "upos"))).alias("rows"))
+    rows = lexical(tokens).groupBy("doc_id", "comp").agg(F.min("sent").alias("sent"), F.sort_array(F.collect_list(F.struct("sent", "id", "form", "upos"))).alias("rows"))
 
     def entropy(values: list, width: int) -> float:
         counts: dict = {}
@@ -202,32 +222,58 @@ def windowed(tokens: DataFrame, k: int = 100) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, items in zip(frame["doc_id"], frame["rows"]):
+            for doc, sent, items in zip(frame["doc_id"], frame["sent"], frame["rows"]):
                 forms, tags = [x["form"] for x in items], [x["upos"] for x in items]
                 n = len(forms) - k + 1
                 if n > 0:
                     out += [
-                        (doc, "lexical.mattr100", distinct(forms, k), float(n)), (doc, "lexical.entropy100", entropy(forms, k) / math.log2(k), float(n)),
-                        (doc, "upos.bigram_entropy100", entropy(list(zip(tags, tags[1:])), k - 1) / math.log2(289), float(n)),
+                        (doc, sent, "lexical.mattr100", distinct(forms, k), float(n)), (doc, sent, "lexical.entropy100", entropy(forms, k) / math.log2(k), float(n)),
+                        (doc, sent, "upos.bigram_entropy100", entropy(list(zip(tags, tags[1:])), k - 1) / math.log2(289), float(n)),
                     ]
-            yield pd.DataFrame(out, columns=["doc_id", "channel", "numerator", "denominator"])
+            yield pd.DataFrame(out, columns=["doc_id", "sent", "channel", "numerator", "denominator"])
 
-    return rows.mapInPandas(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, channel string, numerator double, denominator double").groupBy("doc_id", "channel").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+    return rows.mapInPandas(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, sent long, channel string, numerator double, denominator double").groupBy(*by, "channel").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
 
 
 def channels(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(doc_id, channel, value, numerator, denominator, missing)``: all channels of every document.
 
-    A failed sentence nulls all values of its document, one with classes only the
-    dependency channels; without opportunity a value is null, never zero.
+    A sentence that the targets clip nulls all values of its document ("ineligible_structure"; ``sentences`` may have a
+    boolean ``clipped``), a failed one too; one with classes only nulls the dependency channels; without opportunity a value is null, never zero.
     """
-    state = sentences.groupBy("doc_id").agg(F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"))
+    clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in sentences.columns else F.lit(False)
+    state = sentences.groupBy("doc_id").agg(F.max(clipped.cast("int")).alias("clipped"), F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"))
     grid = state.select("*", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
     found = shares(tokens).unionByName(dependencies(tokens)).unionByName(reuse(tokens)).unionByName(windowed(tokens))
-    rows = grid.join(found, ["doc_id", "channel"], "left")
-    missing = F.when(F.col("failed") == 1, "parse_failed").when((F.col("pos_only") == 1) & F.col("channel").isin(*DEPENDENT), "pos_only").when(F.coalesce("denominator", F.lit(0.0)) == 0, "zero_denominator")
+    return _valued(grid.join(found, ["doc_id", "channel"], "left"), _DOCUMENT)
+
+
+def _valued(rows: DataFrame, by: tuple[str, ...], history: Column | None = None) -> DataFrame:
+    history = F.lit(0) if history is None else history
+    missing = (
+        F.when(F.col("clipped") == 1, "ineligible_structure").when(F.col("failed") == 1, "parse_failed").when((F.col("pos_only") == 1) & F.col("channel").isin(*DEPENDENT) & (F.col("channel") != "syntax.initial_pos_reuse"), "pos_only")
+        .when((history == 1) & F.col("channel").isin(*HISTORICAL), "history_failed").when(F.coalesce("denominator", F.lit(0.0)) == 0, "zero_denominator")
+    )
     value = F.when(missing.isNull(), F.try_divide("numerator", "denominator"))
-    return rows.select("doc_id", "channel", F.round(value, 9).alias("value"), "numerator", "denominator", missing.alias("missing"))
+    return rows.select(*by, "channel", F.round(value, 9).alias("value"), "numerator", "denominator", missing.alias("missing"))
+
+
+def sequences(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(doc_id, sent, channel, value, numerator, denominator, missing)``: the channels of every sentence by itself.
+
+    Reuse looks back at earlier sentences of the component; where one of those failed (for the overlap, the one before), it is "history_failed".
+    A failed sentence nulls its own values only.
+    """
+    by = ("doc_id", "sent")
+    earlier = Window.partitionBy("doc_id", "comp").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
+    failed = (F.col("status") == "failed").cast("int")
+    last = Window.partitionBy("doc_id", "comp").orderBy("sent")
+    before = F.when(F.lag("sent").over(last) == F.col("sent") - 1, F.lag(failed).over(last))
+    state = sentences.select(*by, F.lit(0).alias("clipped"), failed.alias("failed"), (F.col("status") == "pos_only").cast("int").alias("pos_only"), F.coalesce(F.max(failed).over(earlier), F.lit(0)).alias("history"), F.coalesce(before, F.lit(0)).alias("before"))
+    grid = state.select("*", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
+    single = windowed(tokens.withColumn("comp", F.col("sent")), by=by)
+    found = shares(tokens, by).unionByName(dependencies(tokens, by)).unionByName(reuse(tokens, by)).unionByName(single)
+    return _valued(grid.join(found, [*by, "channel"], "left"), by, F.when(F.col("channel") == "lexical.content_overlap", F.col("before")).otherwise(F.col("history")))
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -247,26 +293,52 @@ def edges(tokens: DataFrame) -> DataFrame:
     return contains.unionByName(ud).unionByName(after.select("doc_id", s.alias("src"), F.concat(F.lit("s"), "next").alias("dst"), F.lit("original_next_sentence").alias("kind")))
 
 
+def _rings(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, sent)`` of sentences where some token's heads never reach the root."""
+    rows = tokens.where("head is not null").groupBy("doc_id", "sent").agg(F.map_from_entries(F.collect_list(F.struct("id", "head"))).alias("up"), F.count("*").alias("n"))
+    # All tokens climb at once; doubling the step each time, as many rounds as the sentence has bits suffice.
+    step = lambda up: F.transform_values(up, lambda _, h: F.coalesce(F.try_element_at(up, h), F.lit(0).cast("long")))
+    rows = rows.withColumn("up", F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.col("up"), lambda up, _: step(up)))
+    return rows.where(F.exists(F.map_values("up"), lambda h: h != 0)).select("doc_id", "sent", F.lit(True).alias("ring"))
+
+
 def parse_problems(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(doc_id, sent, problem)`` of sentences whose tokens are no dense tree over known classes and relations, or are missing."""
+    """``(doc_id, sent, problem)``: the first rule that a parse breaks.
+
+    Tokens of a sentence that is not failed must be there, numbered from 1, of known classes and, if status is "ok", one tree of known relations
+    whose root alone is "root", without a ring; a failed sentence has no tokens, one with classes only ("pos_only") no heads or relations. Sentences have at most 2048 tokens.
+    """
+    relation = F.element_at(F.split("deprel", ":"), 1)
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    unique = tokens.dropDuplicates(["doc_id", "sent", "id"])
     ids = tokens.groupBy("doc_id", "sent").agg(
         F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum((F.col("head") == 0).cast("long")).alias("roots"),
-        F.max(((F.col("head") < 0) | (F.col("head") == F.col("id"))).cast("int")).alias("bad_head"), F.max("head").alias("top"),
-        F.max((~F.col("upos").isin(*POS, *OTHER_POS)).cast("int")).alias("bad_pos"), F.max((~F.element_at(F.split("deprel", ":"), 1).isin(*RELATIONS, *OTHER_RELATIONS)).cast("int")).alias("bad_rel"),
+        F.max((F.col("head").isNull() | (F.col("head") < 0) | (F.col("head") == F.col("id"))).cast("int")).alias("bad_head"), F.max("head").alias("top"),
+        F.max((~sure(F.col("upos").isin(*POS, *OTHER_POS))).cast("int")).alias("bad_pos"), F.max((~sure(relation.isin(*RELATIONS, *OTHER_RELATIONS) & F.col("deprel").rlike("^[a-z]+(:[a-z]+)?$"))).cast("int")).alias("bad_rel"),
+        F.max((sure(F.col("head") == 0) != sure(F.col("deprel") == "root")).cast("int")).alias("root_rel"), F.max((F.col("head").isNotNull() | F.col("deprel").isNotNull()).cast("int")).alias("any_head"),
     )
-    rows = sentences.join(ids, ["doc_id", "sent"], "left")
+    rows = sentences.join(ids, ["doc_id", "sent"], "left").join(_rings(unique), ["doc_id", "sent"], "left")
+    ok, there = F.col("status") == "ok", F.col("n").isNotNull()
     problem = (
-        F.when((F.col("status") != "failed") & F.col("n").isNull(), "missing_parse").when((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("d") != F.col("n")), "ids")
-        .when(F.col("bad_pos") == 1, "upos").when((F.col("status") == "ok") & (F.col("roots") != 1), "roots").when((F.col("bad_head") == 1) | (F.col("top") > F.col("n")), "head").when(F.col("bad_rel") == 1, "deprel")
+        F.when(~sure(F.col("status").isin("ok", "pos_only", "failed")), "status").when((F.col("status") == "failed") & there, "failed_with_tokens").when((F.col("status") != "failed") & ~there, "missing_parse").when(F.col("n") > 2048, "too_many_tokens")
+        .when((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("d") != F.col("n")), "ids").when(F.col("bad_pos") == 1, "upos").when((F.col("status") == "pos_only") & (F.col("any_head") == 1), "pos_only_with_heads")
+        .when(ok & (F.col("roots") != 1), "roots").when(ok & ((F.col("bad_head") == 1) | (F.col("top") > F.col("n"))), "head").when(ok & (F.col("bad_rel") == 1), "deprel").when(ok & (F.col("root_rel") == 1), "root_relation").when(ok & F.col("ring"), "cycle")
     )
     return rows.select("doc_id", "sent", problem.alias("problem")).where("problem is not null")
 
 
+def inventory(tokens: DataFrame) -> DataFrame:
+    """``(kind, name, n)``: how often each class and each base relation stands."""
+    upos = tokens.groupBy(F.col("upos").alias("name")).agg(F.count("*").alias("n")).select(F.lit("upos").alias("kind"), "name", "n")
+    rel = tokens.where("deprel is not null").groupBy(F.element_at(F.split("deprel", ":"), 1).alias("name")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "name", "n")
+    return upos.unionByName(rel)
+
+
 def catalog(spark) -> DataFrame:
     """``(family, n)``: the channels by family."""
     counts: dict[str, int] = {}
     for c in CHANNELS:
-        counts[c.split(".")[0]] = counts.get(c.split(".")[0], 0) + 1
+        counts[family(c)] = counts.get(family(c), 0) + 1
     return spark.createDataFrame(sorted(counts.items()), "family string, n long")
 
 

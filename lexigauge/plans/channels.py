@@ -1,7 +1,7 @@
 """Queries of the token channels.
 
 No parser is at hand, so classes and relations are dealt by rule to the letter
-runs of every English document: twelve tokens a sentence, each the child of the
+runs, Han characters and numbers of every document: twelve tokens a sentence, each the child of the
 token at half its place.
 """
 
@@ -11,35 +11,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as c
-from ..operators.english import tokens as letter_runs
 from ..sources.tables import table
-from .english import _TOKENS, _english
 
 _ALL = (*c.POS, *c.OTHER_POS)
+_RELS = (*c.RELATIONS, "punct")
+#: A token: one Han character, a run of letters of other scripts, or a number.
+_FORM = r"[\x{3400}-\x{9fff}]|[A-Za-z\x{c0}-\x{24f}\x{370}-\x{1fff}\x{3040}-\x{30ff}]+|[0-9]+"
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = letter_runs(_english(spark, d)).withColumn("sent", F.expr("pos div 12")).withColumn("id", F.expr("cast(pos % 12 + 1 as bigint)"))
+    docs = table(spark, d, "documents").where("text is not null")
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(_FORM), F.lit(0))).alias("pos", "form"))
+    rows = rows.withColumn("sent", F.expr("pos div 12")).withColumn("id", F.expr("cast(pos % 12 + 1 as bigint)"))
     size = F.length("form")
-    upos = F.element_at(F.array(*map(F.lit, _ALL)), ((size * 7 + F.col("id")) % 17 + 1).cast("int"))
-    rel = F.when(F.col("id") == 1, "root").otherwise(F.element_at(F.array(*map(F.lit, c.RELATIONS)), ((F.col("id") * 5 + size) % 27 + 1).cast("int")))
+    upos = F.element_at(F.array(*map(F.lit, _ALL)), ((size * 7 + F.col("id") * 5 + F.ascii("form")) % 17 + 1).cast("int"))
+    rel = F.when(F.col("id") == 1, "root").otherwise(F.element_at(F.array(*map(F.lit, _RELS)), ((F.col("id") * 5 + size) % 28 + 1).cast("int")))
     return rows.select("doc_id", F.expr("sent div 40").alias("comp"), "sent", "id", "form", upos.alias("upos"), F.expr("id div 2").alias("head"), rel.alias("deprel"))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("doc_id") % 17 == 0, "failed").when(F.col("doc_id") % 13 == 0, "pos_only").otherwise("ok")
-    return _tokens(spark, d).select("doc_id", "comp", "sent").distinct().select("*", status.alias("status"))
+    status = F.when((F.col("doc_id") % 17 == 0) & (F.col("sent") % 5 == 2), "failed").when(F.col("doc_id") % 13 == 0, "pos_only").otherwise("ok")
+    return _tokens(spark, d).select("doc_id", "comp", "sent").distinct().select("*", status.alias("status"), (F.col("doc_id") % 19 == 0).alias("clipped"))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens as a parser would leave them: none of failed sentences, no heads where only classes are known; and some faults."""
+    rows = _tokens(spark, d).join(_sentences(spark, d).select("doc_id", "sent", "status"), ["doc_id", "sent"]).where("status <> 'failed' or sent % 10 = 7")
+    bare = (F.col("status") == "pos_only") & (F.col("sent") % 4 != 1)
+    fault = F.col("doc_id") % 23
+    head = F.when(bare, None).when((fault == 1) & (F.col("id") == 2), 4).when((fault == 2) & (F.col("id") == 3), 0).when((fault == 3) & (F.col("id") == 3), 30).otherwise(F.col("head"))
+    rel = F.when(bare, None).when((fault == 4) & (F.col("id") == 2), "subj").when((fault == 5) & (F.col("id") == 2), "root").otherwise(F.col("deprel"))
+    upos = F.when((fault == 6) & (F.col("id") == 1), "WORD").otherwise(F.col("upos"))
+    return rows.where("not (doc_id % 23 = 7 and id = 2)").select("doc_id", "comp", "sent", "id", "form", upos.alias("upos"), head.cast("long").alias("head"), rel.alias("deprel"))
 
 
 def _list(names) -> str:
     return "[" + ", ".join(f"'{x}'" for x in names) + "]"
 
 
-_SQL = f"""{_TOKENS}, t AS (SELECT doc_id, (pos // 12) // 40 AS comp, pos // 12 AS sent, pos % 12 + 1 AS id, form, length(form) AS size FROM tokens),
-tok AS (SELECT doc_id, comp, sent, id, form, {_list(_ALL)}[(size * 7 + id) % 17 + 1] AS upos, id // 2 AS head, CASE WHEN id = 1 THEN 'root' ELSE {_list(c.RELATIONS)}[(id * 5 + size) % 27 + 1] END AS deprel FROM t),
-lex AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY id) AS rank, count(*) OVER (PARTITION BY doc_id, sent) AS size FROM tok WHERE upos <> 'PUNCT'),
-arcs AS (SELECT a.*, h.rank AS head_rank FROM lex a LEFT JOIN lex h ON h.doc_id = a.doc_id AND h.sent = a.sent AND h.id = a.head)"""
-_GRID = "grid AS (SELECT DISTINCT doc_id FROM lex)"
+_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower(text), '{_FORM}') AS ts FROM documents WHERE text IS NOT NULL),
+tokens AS (SELECT doc_id, unnest(ts) AS form, generate_subscripts(ts, 1) - 1 AS pos FROM tk),
+t AS (SELECT doc_id, (pos // 12) // 40 AS comp, pos // 12 AS sent, pos % 12 + 1 AS id, form, length(form) AS size FROM tokens),
+tok AS (SELECT doc_id, comp, sent, id, form, {_list(_ALL)}[(size * 7 + id * 5 + unicode(form)) % 17 + 1] AS upos, id // 2 AS head, CASE WHEN id = 1 THEN 'root' ELSE {_list(_RELS)}[(id * 5 + size) % 28 + 1] END AS deprel FROM t),
+lex AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY id) AS rank, count(*) OVER (PARTITION BY doc_id, sent) AS size FROM tok WHERE upos <> 'PUNCT' AND NOT regexp_full_match(form, '[\\s\\p{{P}}]*')),
+sents AS (SELECT doc_id, count(DISTINCT sent) AS s FROM tok GROUP BY 1),
+arcs AS (SELECT a.*, h.rank AS head_rank FROM lex a LEFT JOIN lex h ON h.doc_id = a.doc_id AND h.sent = a.sent AND h.id = a.head AND a.deprel <> 'punct'),
+whole AS (SELECT sents.doc_id, s, arcs.* EXCLUDE (doc_id) FROM sents LEFT JOIN arcs USING (doc_id))"""
 
 
 def _pick(names: tuple[str, ...]):
@@ -48,13 +65,17 @@ def _pick(names: tuple[str, ...]):
 
 _FAM = {f"upos.{p}": f"count(*) FILTER (upos = '{p}') / count(*)::DOUBLE" for p in c.POS}
 _REL = {f"deprel.{r}": f"count(*) FILTER (head_rank IS NOT NULL AND deprel = '{r}') / nullif(count(head_rank), 0)::DOUBLE" for r in c.RELATIONS}
-_SHAPE = {"word_length.mean": "avg(length(form))", "word_length.ge4": "avg((length(form) >= 4)::INT)"}
+_SHAPE = {
+    "word_length.mean": "avg(length(regexp_replace(form, '[\\s\\p{P}]', '', 'g')))", "word_length.ge4": "avg((length(regexp_replace(form, '[\\s\\p{P}]', '', 'g')) >= 4)::INT)", "word.single_han": "avg((length(form) = 1 AND regexp_full_match(form, '[\\x{3400}-\\x{9fff}]'))::INT)",
+    "word.latin": "avg(regexp_matches(form, '[A-Za-zªº\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}\\x{1e00}-\\x{1eff}\\x{1d00}-\\x{1d25}]')::INT)", "word.decimal_digit": "avg(regexp_matches(form, '\\p{Nd}')::INT)",
+}
+_CUE = {f"cue.{k}": f"count(*) FILTER (form IN ({', '.join(repr(x) for x in forms)}) AND upos IN ({', '.join(repr(x) for x in pos)})) / count(*)::DOUBLE" for k, (pos, forms) in c.CUES.items()}
 _DEP = {
     "dependency.span_mean": "sum(abs(rank - head_rank)) / nullif(count(head_rank), 0)::DOUBLE",
     "dependency.span_normalized": "sum(abs(rank - head_rank) / greatest(size - 1, 1)::DOUBLE) / nullif(count(head_rank), 0)",
     "dependency.depth_mean": "avg(floor(log2(id)))",
-    "syntax.subordinate_arcs": "100.0 * count(*) FILTER (head_rank IS NOT NULL AND deprel IN ('ccomp', 'xcomp', 'advcl', 'acl')) / count(DISTINCT sent)",
-    "syntax.predicate_heads": "count(*) FILTER (upos IN ('VERB', 'ADJ', 'AUX') AND (head = 0 OR deprel IN ('ccomp', 'xcomp', 'advcl', 'acl', 'conj', 'parataxis'))) / count(DISTINCT sent)::DOUBLE",
+    "syntax.subordinate_arcs": "100.0 * count(*) FILTER (head_rank IS NOT NULL AND deprel IN ('ccomp', 'xcomp', 'advcl', 'acl')) / any_value(s)",
+    "syntax.predicate_heads": "count(*) FILTER (upos IN ('VERB', 'ADJ', 'AUX') AND (head = 0 OR deprel IN ('ccomp', 'xcomp', 'advcl', 'acl', 'conj', 'parataxis'))) / any_value(s)::DOUBLE",
     "syntax.preposed_modifiers": "count(*) FILTER (head_rank IS NOT NULL AND deprel IN ('amod', 'nmod', 'acl', 'advmod') AND rank < head_rank) / nullif(count(*) FILTER (head_rank IS NOT NULL AND deprel IN ('amod', 'nmod', 'acl', 'advmod')), 0)::DOUBLE",
     "syntax.verb_root_without_subject": "count(*) FILTER (head = 0 AND upos = 'VERB' AND NOT EXISTS (SELECT 1 FROM lex s WHERE s.doc_id = arcs.doc_id AND s.sent = arcs.sent AND s.head = arcs.id AND s.deprel IN ('nsubj', 'csubj'))) / nullif(count(*) FILTER (head = 0 AND upos = 'VERB'), 0)::DOUBLE",
 }
@@ -65,14 +86,21 @@ def _union(parts: dict[str, str], source: str) -> str:
 
 
 _NOSUB = {k: v for k, v in _DEP.items() if k != "syntax.verb_root_without_subject"}
-_ROOT = f"""WITH {_SQL}, subj AS (SELECT DISTINCT doc_id, sent, head AS id, true AS has FROM lex WHERE deprel IN ('nsubj', 'csubj'))
-SELECT doc_id, 'syntax.verb_root_without_subject' AS channel, round(count(*) FILTER (head = 0 AND upos = 'VERB' AND has IS NULL) / nullif(count(*) FILTER (head = 0 AND upos = 'VERB'), 0)::DOUBLE, 9) AS value FROM lex LEFT JOIN subj USING (doc_id, sent, id) GROUP BY 1"""
+_ROOT = f"""WITH {_SQL}, subj AS (SELECT DISTINCT doc_id, sent, head AS id, true AS has FROM tok WHERE deprel IN ('nsubj', 'csubj'))
+SELECT doc_id, 'syntax.verb_root_without_subject' AS channel, round(count(*) FILTER (head = 0 AND upos = 'VERB' AND has IS NULL) / nullif(count(*) FILTER (head = 0 AND upos = 'VERB'), 0)::DOUBLE, 9) AS value FROM whole LEFT JOIN subj USING (doc_id, sent, id) GROUP BY 1"""
 
 QUERIES = {
     "upos_shares": (lambda spark, d: _pick(tuple(_FAM))(c.shares(_tokens(spark, d))), _union(_FAM, "arcs")),
     "deprel_shares": (lambda spark, d: _pick(tuple(_REL))(c.shares(_tokens(spark, d))), _union(_REL, "arcs")),
+    "cue_shares": (lambda spark, d: _pick(tuple(_CUE))(c.shares(_tokens(spark, d))), _union(_CUE, "arcs")),
+    "predicate_shares": (
+        lambda spark, d: _pick(("syntax.predicate_conj_share", "dependency.maxdepth_median"))(c.dependencies(_tokens(spark, d))),
+        f"""WITH {_SQL}, p AS (SELECT doc_id, count(*) FILTER (deprel = 'conj') / count(*)::DOUBLE AS v FROM lex WHERE upos IN ('VERB', 'ADJ', 'AUX') AND (head = 0 OR deprel IN ('ccomp', 'xcomp', 'advcl', 'acl', 'conj', 'parataxis')) GROUP BY 1),
+m AS (SELECT doc_id, sent, max(floor(log2(id))) AS m FROM lex GROUP BY 1, 2)
+SELECT sents.doc_id, 'syntax.predicate_conj_share' AS channel, round(v, 9) AS value FROM sents LEFT JOIN p USING (doc_id) UNION ALL SELECT doc_id, 'dependency.maxdepth_median', round(median(m), 9) FROM m GROUP BY 1""",
+    ),
     "word_lengths": (lambda spark, d: _pick(tuple(_SHAPE))(c.shares(_tokens(spark, d))), _union(_SHAPE, "arcs")),
-    "dependency_geometry": (lambda spark, d: _pick(tuple(_NOSUB))(c.dependencies(_tokens(spark, d))), _union(_NOSUB, "arcs")),
+    "dependency_geometry": (lambda spark, d: _pick(tuple(_NOSUB))(c.dependencies(_tokens(spark, d))), _union(_NOSUB, "whole")),
     "root_without_subject": (lambda spark, d: _pick(("syntax.verb_root_without_subject",))(c.dependencies(_tokens(spark, d))), _ROOT),
     "trigram_reuse": (
         lambda spark, d: _pick(("lexical.trigram_reuse",))(c.reuse(_tokens(spark, d))),
@@ -87,7 +115,7 @@ SELECT doc_id, 'syntax.initial_pos_reuse' AS channel, round(avg(hit::INT), 9) AS
     ),
     "content_overlap": (
         lambda spark, d: _pick(("lexical.content_overlap",))(c.reuse(_tokens(spark, d))),
-        f"""WITH {_SQL}, k AS (SELECT doc_id, comp, sent, coalesce(list(DISTINCT form) FILTER (upos IN ('NOUN', 'PROPN', 'VERB', 'ADJ')), []) AS k FROM tok GROUP BY 1, 2, 3),
+        f"""WITH {_SQL}, k AS (SELECT doc_id, comp, sent, coalesce(list(DISTINCT form) FILTER (upos IN ('NOUN', 'PROPN', 'VERB', 'ADJ') AND NOT regexp_full_match(form, '[\\s\\p{{P}}]*')), []) AS k FROM tok GROUP BY 1, 2, 3),
 n AS (SELECT doc_id, k, lead(k) OVER w AS l, sent, lead(sent) OVER w AS after FROM k WINDOW w AS (PARTITION BY doc_id, comp ORDER BY sent))
 SELECT doc_id, 'lexical.content_overlap' AS channel, round(avg(len(list_intersect(k, l)) / len(list_distinct(list_concat(k, l)))::DOUBLE), 9) AS value FROM n WHERE after = sent + 1 AND len(k) + len(l) > 0 GROUP BY 1""",
     ),
@@ -100,10 +128,33 @@ SELECT doc_id, 'lexical.content_overlap' AS channel, round(avg(len(list_intersec
 UNION ALL SELECT doc_id, 's' || sent, 's' || (sent + 1), 'original_next_sentence' FROM (SELECT DISTINCT doc_id, sent FROM tok) a WHERE EXISTS (SELECT 1 FROM tok b WHERE b.doc_id = a.doc_id AND b.sent = a.sent + 1)""",
     ),
     "parse_audit": (
-        lambda spark, d: c.parse_problems(_sentences(spark, d), _tokens(spark, d).where("not (doc_id % 5 = 0 and sent = 1 and id = 2) and not (doc_id % 7 = 0 and sent = 0)")),
-        f"""WITH {_SQL}, x AS (SELECT doc_id, sent, max(id) AS n FROM tok GROUP BY 1, 2)
-SELECT doc_id, sent, CASE WHEN doc_id % 7 = 0 AND sent = 0 THEN 'missing_parse' ELSE 'ids' END AS problem FROM x
-WHERE (doc_id % 7 = 0 AND sent = 0 AND doc_id % 17 <> 0) OR (doc_id % 5 = 0 AND sent = 1 AND n > 2)""",
+        lambda spark, d: c.parse_problems(_sentences(spark, d), _parsed(spark, d)),
+        f"""WITH {_SQL}, x AS (SELECT doc_id, sent, max(id) AS n, CASE WHEN doc_id % 17 = 0 AND sent % 5 = 2 THEN 'failed' WHEN doc_id % 13 = 0 THEN 'pos_only' ELSE 'ok' END AS status,
+  max(CASE WHEN NOT (doc_id % 23 = 7 AND id = 2) THEN id END) AS high, doc_id % 23 AS fault FROM tok GROUP BY 1, 2),
+y AS (SELECT doc_id, sent, CASE WHEN status = 'failed' THEN CASE WHEN sent % 10 = 7 THEN 'failed_with_tokens' END WHEN fault = 7 AND n > 2 THEN 'ids' WHEN fault = 6 THEN 'upos'
+  WHEN status = 'pos_only' THEN CASE WHEN sent % 4 = 1 THEN 'pos_only_with_heads' END WHEN fault = 2 AND n >= 3 THEN 'roots' WHEN fault = 3 AND n >= 3 THEN 'head' WHEN fault = 1 AND n IN (2, 3) THEN 'head'
+  WHEN fault = 4 AND n >= 2 THEN 'deprel' WHEN fault = 5 AND n >= 2 THEN 'root_relation' WHEN fault = 1 AND n >= 4 THEN 'cycle' END AS problem FROM x) SELECT * FROM y WHERE problem IS NOT NULL""",
+    ),
+    "parse_inventory": (
+        lambda spark, d: c.inventory(_tokens(spark, d)),
+        f"WITH {_SQL} SELECT 'upos' AS kind, upos AS name, count(*) AS n FROM tok GROUP BY ALL UNION ALL SELECT 'relation', deprel, count(*) FROM tok GROUP BY ALL",
+    ),
+    "channel_states": (
+        lambda spark, d: c.channels(_sentences(spark, d), _tokens(spark, d)).where("channel in ('upos.NOUN', 'deprel.obj')").select("doc_id", "channel", F.coalesce("missing", F.lit("measured")).alias("state")),
+        f"""WITH {_SQL}, a AS (SELECT doc_id, count(*) AS t, count(head_rank) AS arcs FROM arcs GROUP BY 1), b AS (SELECT doc_id, max((doc_id % 17 = 0 AND sent % 5 = 2)::INT) AS failed, max((doc_id % 13 = 0 AND NOT (doc_id % 17 = 0 AND sent % 5 = 2))::INT) AS po FROM tok GROUP BY 1)
+SELECT doc_id, ch AS channel, CASE WHEN doc_id % 19 = 0 THEN 'ineligible_structure' WHEN failed = 1 THEN 'parse_failed' WHEN po = 1 AND ch LIKE 'deprel%' THEN 'pos_only'
+  WHEN coalesce(CASE WHEN ch LIKE 'deprel%' THEN arcs ELSE t END, 0) = 0 THEN 'zero_denominator' ELSE 'measured' END AS state FROM b LEFT JOIN a USING (doc_id), (SELECT unnest(['upos.NOUN', 'deprel.obj']) AS ch)""",
+    ),
+    "sentence_sequences": (
+        lambda spark, d: c.sequences(_sentences(spark, d), _tokens(spark, d)).where("channel in ('upos.NOUN', 'syntax.predicate_heads', 'lexical.trigram_reuse')").select("doc_id", "sent", "channel", "value", "missing"),
+        f"""WITH {_SQL}, st AS (SELECT doc_id, comp, sent, (doc_id % 17 = 0 AND sent % 5 = 2)::INT AS failed, doc_id % 13 = 0 AND NOT (doc_id % 17 = 0 AND sent % 5 = 2) AS po FROM tok GROUP BY ALL),
+h AS (SELECT *, coalesce(max(failed) OVER (PARTITION BY doc_id, comp ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS history FROM st),
+tri AS (SELECT doc_id, comp, sent, form AS a, lead(form, 1) OVER w AS b, lead(form, 2) OVER w AS c FROM lex WINDOW w AS (PARTITION BY doc_id, sent ORDER BY id)),
+r AS (SELECT doc_id, sent, avg(hit::INT) AS v FROM (SELECT doc_id, sent, min(sent) OVER (PARTITION BY doc_id, comp, a, b, c) < sent AS hit FROM tri WHERE c IS NOT NULL) GROUP BY 1, 2),
+u AS (SELECT doc_id, sent, avg((upos = 'NOUN')::INT) AS noun, count(*) FILTER (upos IN ('VERB', 'ADJ', 'AUX') AND (head = 0 OR deprel IN ('ccomp', 'xcomp', 'advcl', 'acl', 'conj', 'parataxis'))) AS pred FROM lex GROUP BY 1, 2),
+x AS (SELECT doc_id, sent, failed, po, history, unnest(['upos.NOUN', 'syntax.predicate_heads', 'lexical.trigram_reuse']) AS channel, unnest([noun, coalesce(pred, 0), v]) AS value FROM h LEFT JOIN u USING (doc_id, sent) LEFT JOIN r USING (doc_id, sent)),
+m AS (SELECT *, CASE WHEN failed = 1 THEN 'parse_failed' WHEN po AND channel LIKE 'syntax%' THEN 'pos_only' WHEN history = 1 AND channel LIKE 'lexical%' THEN 'history_failed' WHEN value IS NULL THEN 'zero_denominator' END AS missing FROM x)
+SELECT doc_id, sent, channel, CASE WHEN missing IS NULL THEN round(value, 9) END AS value, missing FROM m""",
     ),
     "parse_coverage": (
         lambda spark, d: c.parse_coverage(table(spark, d, "sentence_parses")),
@@ -114,6 +165,6 @@ SELECT *, n_missing = 0 AND n_failed = 0 AND n_clipped = 0 AS complete FROM p"""
     ),
     "channel_catalog": (
         lambda spark, d: c.catalog(spark),
-        "SELECT unnest(['cue', 'dependency', 'deprel', 'lexical', 'syntax', 'upos', 'word', 'word_length']) AS family, unnest([10, 4, 27, 4, 7, 14, 3, 2]) AS n",
+        "SELECT unnest(['upos_composition', 'dependency_composition', 'lexical_shape', 'lexical_reuse', 'upos_sequence', 'dependency_geometry', 'syntactic_configuration', 'closed_class_cues']) AS family, unnest([13, 27, 5, 4, 1, 4, 7, 10]) AS n",
     ),
 }
