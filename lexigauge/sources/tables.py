@@ -16,14 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context names a folder (tests on one
-    machine) a temporary one is made and set.
+    Only where neither the setting nor the context names a folder, and on one machine (tests), a
+    temporary one is made and set; on a cluster that is an error.
     """
     context = spark.sparkContext._jsc.sc()
     known = context.getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return context.getCheckpointDir().get()
 
