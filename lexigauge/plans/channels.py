@@ -21,7 +21,7 @@ _FORM = r"[\x{3400}-\x{9fff}]|[A-Za-z\x{c0}-\x{24f}\x{370}-\x{1fff}\x{3040}-\x{3
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(_FORM), F.lit(0))).alias("pos", "form"))
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_FORM), F.lit(0))).alias("pos", "form"))
     rows = rows.withColumn("sent", F.expr("pos div 12")).withColumn("id", F.expr("cast(pos % 12 + 1 as bigint)"))
     size = F.length("form")
     upos = F.element_at(F.array(*map(F.lit, _ALL)), ((size * 7 + F.col("id") * 5 + F.ascii("form")) % 17 + 1).cast("int"))
@@ -49,7 +49,7 @@ def _list(names) -> str:
     return "[" + ", ".join(f"'{x}'" for x in names) + "]"
 
 
-_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower(text), '{_FORM}') AS ts FROM documents WHERE text IS NOT NULL),
+_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(text, '{_FORM}') AS ts FROM documents WHERE text IS NOT NULL),
 tokens AS (SELECT doc_id, unnest(ts) AS form, generate_subscripts(ts, 1) - 1 AS pos FROM tk),
 t AS (SELECT doc_id, (pos // 12) // 40 AS comp, pos // 12 AS sent, pos % 12 + 1 AS id, form, length(form) AS size FROM tokens),
 tok AS (SELECT doc_id, comp, sent, id, form, {_list(_ALL)}[(size * 7 + id * 5 + unicode(form)) % 17 + 1] AS upos, id // 2 AS head, CASE WHEN id = 1 THEN 'root' ELSE {_list(_RELS)}[(id * 5 + size) % 28 + 1] END AS deprel FROM t),
