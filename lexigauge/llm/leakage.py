@@ -2,14 +2,17 @@
 
 The n-gram hashes of evaluation and training records are partitioned: of each
 record the least hashes under some hundred orders are taken, four at a time, and
-records that agree in such a four hit each other. For every hit the containment
-of the evaluation record is computed from the whole n-gram sets.
+records that agree in such a four meet. One bit of each least hash makes a
+sketch; only where two sketches differ no more than similar sets' can is a meeting
+a hit. For every hit the containment of the evaluation record is computed from the
+whole n-gram sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ from .normal import letters_digits, lettered, run_hashes
 #: Least hashes taken together, and how many such fours. Two sets that share a part j of their union miss each other with a
 #: probability of (1 - j ** FOUR) ** BANDS: 2e-7 at 0.68, 1e-4 at 0.6, and meet by chance with one of 4e-4 at 0.05.
 FOUR, BANDS = 4, 64
+#: Bits of two sketches that agree at least. Each of the 256 agrees with a probability of (1 + j) / 2: fewer do with one of 3e-9 at 0.68, 3e-5 at
+#: 0.6, and as many with one of 6e-6 at 0.12, where most meetings by chance are (they grow as the square of the table).
+AGREE = 178
 #: Rows on one side of a block of a join; keys with more rows are split into blocks that meet each other.
 BLOCK = 2000
 #: A key counts as hot if it holds one of this many parts of all rows, so that the table of hot keys stays small.
@@ -44,23 +50,46 @@ def split_flags(observations: DataFrame) -> DataFrame:
 def _orders() -> tuple[np.ndarray, np.ndarray]:
     """Fixed odd factors and masks that each make one order of hashes."""
     make = np.random.Generator(np.random.PCG64(20240229))
-    return make.integers(0, 1 << 64, FOUR * BANDS, np.uint64) | np.uint64(1), make.integers(0, 1 << 64, FOUR * BANDS, np.uint64)
+    return make.integers(0, 1 << 32, FOUR * BANDS, np.uint32) | np.uint32(1), make.integers(0, 1 << 32, FOUR * BANDS, np.uint32)
+
+
+_ORDERS = _orders()
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes' upper halves in each order."""
+    factors, masks = _ORDERS
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    least, room = np.full(FOUR * BANDS, np.iinfo(np.uint32).max, np.uint32), np.empty((64, FOUR * BANDS), np.uint32)
+    for k in range(0, len(upper), len(room)):
+        part = room[: min(len(room), len(upper) - k)]
+        np.bitwise_xor(upper[k : k + len(room), None], masks, out=part)
+        np.multiply(part, factors, out=part)
+        np.minimum(least, part.min(axis=0), out=least)
+    return least
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """``BANDS`` keys of a set of n-gram hashes; sets that have any of them in common may be similar."""
-    factors, masks = _ORDERS
-    least = np.full(FOUR * BANDS, np.iinfo(np.uint64).max)
-    for k in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[k : k + 1024, None] ^ masks) * factors).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, FOUR).T:
-        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+    return _keys(least_hashes(hashes)[None])[0]
+
+
+def _keys(least: np.ndarray) -> np.ndarray:
+    """The keys of each row of least hashes."""
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
+    for k in range(FOUR):
+        keys = (keys ^ least.reshape(-1, BANDS, FOUR)[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
     return keys.astype(np.int64)
 
 
-_ORDERS = _orders()
+def sketches(least: np.ndarray) -> np.ndarray:
+    """The sketch of each row of least hashes: one bit of each, mixed so that it tells nothing but which hash it is; four 64-bit numbers."""
+    mixed = least ^ (least >> np.uint32(16))
+    mixed = mixed * np.uint32(0x85EBCA6B)
+    mixed ^= mixed >> np.uint32(13)
+    mixed = mixed * np.uint32(0xC2B2AE35)
+    return np.packbits((mixed >> np.uint32(31)).astype(bool), axis=1).view(np.int64)
 
 
 def _block_join(held: DataFrame, trained: DataFrame, keys: list[str], hot: DataFrame, held_id: str, trained_id: str) -> DataFrame:
@@ -83,19 +112,30 @@ def near_pairs(classes: DataFrame, width: int = 5, share: float = 0.6) -> DataFr
     """
     own = classes.select("class", "plain", "train", "evaluation", F.xxhash64("class").alias("c"))
 
-    def banded(frames):
-        for frame in frames:
-            keys = [band_keys(run_hashes(plain, width)) for plain in frame["plain"]]
-            yield pd.DataFrame({"c": frame["c"], "train": frame["train"], "evaluation": frame["evaluation"], "keys": keys})
+    bits = [f"s{k}" for k in range(FOUR * BANDS // 64)]
 
-    rows = cut(own.select("c", "plain", "train", "evaluation").mapInPandas(banded, "c long, train boolean, evaluation boolean, keys array<long>"), "bands")
-    keyed = rows.select("c", "train", "evaluation", F.explode("keys").alias("key"))
+    def banded(batches):
+        for batch in batches:
+            least = np.array([least_hashes(run_hashes(plain, width)) for plain in batch.column("plain").to_pylist()], np.uint32).reshape(-1, FOUR * BANDS)
+            keys, sketch = _keys(least), sketches(least)
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in flags), *(np.ascontiguousarray(x) for x in sketch.T), listed], [*flags, *bits, "keys"])
+
+    flags = ["c", "train", "evaluation"]
+    rows = cut(own.select("plain", *flags).mapInArrow(banded, f"c long, train boolean, evaluation boolean, {', '.join(f'{b} long' for b in bits)}, keys array<long>"), "bands")
+    keyed = rows.select(*flags, *bits, F.explode("keys").alias("key"))
     # Hot keys are looked for in a sixteenth of the classes: it decides only how the join is split.
     part = rows.where(F.pmod(F.col("c"), F.lit(16)) == 0)
     least = max(BLOCK // 16, part.count() // HOT_PARTS)
     hot = part.select(F.explode("keys").alias("key")).groupBy("key").agg((F.count("*") * 16).alias("n")).where(F.col("n") >= 16 * least)
-    met = _block_join(keyed.where("evaluation").select("key", F.col("c").alias("e")), keyed.where("train").select("key", F.col("c").alias("t")), ["key"], hot, "e", "t")
-    met = cut(met.where("e <> t").select("e", "t").distinct(), "hits")
+
+    def side(flag: str, tag: str) -> DataFrame:
+        return keyed.where(flag).select("key", F.col("c").alias(tag), *(F.col(b).alias(f"{b}_{tag}") for b in bits))
+
+    met = _block_join(side("evaluation", "e"), side("train", "t"), ["key"], hot, "e", "t")
+    # This stands in the join's own condition, so that meetings by chance are never written.
+    differ = sum((F.bit_count(F.col(f"{b}_e").bitwiseXOR(F.col(f"{b}_t"))) for b in bits), F.lit(0))
+    met = cut(met.where((F.col("e") != F.col("t")) & (differ <= FOUR * BANDS - AGREE)).select("e", "t").distinct(), "hits")
 
     def texts(tag: str) -> DataFrame:
         wanted = met.select(F.col(tag).alias("c")).distinct()

@@ -54,4 +54,5 @@ def run_hashes(text: str, width: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
