@@ -7,13 +7,11 @@ id, form, upos, head, deprel)`` with dense ids from 1 and head 0 at the root.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .channel_sums import character_classes, measurer
+
 # The classes, relations and cue forms that are counted.
 POS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "NOUN", "NUM", "PART", "PRON", "PROPN", "SCONJ", "VERB")
 OTHER_POS = ("INTJ", "PUNCT", "SYM", "X")
@@ -52,200 +50,55 @@ def family(channel: str) -> str:
     return fixed.get(channel) or start[channel.split(".")[0]]
 
 
-def lexical(tokens: DataFrame) -> DataFrame:
-    """Tokens that are no punctuation, with their rank in the sentence."""
-    kept = tokens.where((F.col("upos") != "PUNCT") & ~F.col("form").rlike(r"^[\p{P}\s]*$"))
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "sent").orderBy("id")))
-
-
-def _depths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Depth of every token and size of the modifier subtree of every noun, sentence by sentence."""
-    for frame in frames:
-        out = []
-        for doc, sent, rows in zip(frame["doc_id"], frame["sent"], frame["rows"]):
-            head = {r["id"]: r["head"] for r in rows}
-            word = {r["id"] for r in rows if r["lex"]}
-            depth: dict[int, int] = {}
-            for start in head:
-                path, at = [], start
-                while at in head and at not in depth and head[at] and at not in path:
-                    path.append(at)
-                    at = head[at]
-                base = depth.get(at, 0)
-                for k, x in enumerate(reversed(path), 1):
-                    depth[x] = base + k
-            below: dict[int, set[int]] = {x: set() for x in head}
-            relation = {r["id"]: (r["deprel"] or "").split(":")[0] for r in rows}
-            for x in word:
-                at, seen = x, set()
-                while at in head and head[at] and at not in seen:
-                    seen.add(at)
-                    if relation[at] in ("acl", "nmod") and head[at] in below:
-                        below[head[at]].add(x)
-                    at = head[at]
-            out += [(doc, sent, x, depth.get(x, 0), len(below[x])) for x in head]
-        yield pd.DataFrame(out, columns=["doc_id", "sent", "id", "depth", "below"])
-
-
-def depths(tokens: DataFrame) -> DataFrame:
-    """``(doc_id, sent, id, depth, below)``: path length to the root, and lexical tokens under its acl and nmod children."""
-    lex = ((F.col("upos") != "PUNCT") & ~F.col("form").rlike(r"^[\p{P}\s]*$")).alias("lex")
-    rows = tokens.groupBy("doc_id", "sent").agg(F.sort_array(F.collect_list(F.struct("id", "head", "deprel", lex))).alias("rows"))
-    return rows.mapInPandas(_depths, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, sent long, id long, depth long, below long")
-
-
-def _ratios(pairs: dict[str, tuple[Column, Column]]) -> list[Column]:
-    return [F.struct(F.lit(k).alias("channel"), a.cast("double").alias("numerator"), b.cast("double").alias("denominator")) for k, (a, b) in pairs.items()]
-
-
 _DOCUMENT = ("doc_id",)
 
 
-def shares(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
-    """Class, relation, shape and cue channels: ``(*by, channel, numerator, denominator)``."""
-    words = lexical(tokens)
-    heads = words.select("doc_id", "sent", F.col("id").alias("head"), F.lit(True).alias("lexical_head"))
-    both = words.join(heads, ["doc_id", "sent", "head"], "left").withColumn("rel", F.element_at(F.split("deprel", ":"), 1))
-    both = both.withColumn("arc", F.coalesce(F.col("lexical_head") & (F.col("rel") != "punct"), F.lit(False)))
+def _sums(tokens: DataFrame, names: tuple[str, ...], by: tuple[str, ...], together: bool, k: int = 100) -> DataFrame:
+    """``(*by, n, d)``: arrays of the numerators and denominators of ``names``; null where a channel has no opportunity.
 
-    def n(c: Column) -> Column:
-        return F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-
-    t, arcs = F.count("*"), n(F.col("arc"))
-    bare = F.length(F.regexp_replace("form", r"[\s\p{P}]", ""))
-    sums = {
-        **{f"upos.{p}": (n(F.col("upos") == p), t) for p in POS},
-        **{f"deprel.{r}": (n(F.col("arc") & (F.col("rel") == r)), arcs) for r in RELATIONS},
-        "word_length.mean": (F.sum(bare), t), "word_length.ge4": (n(bare >= 4), t),
-        "word.single_han": (n(F.col("form").rlike(r"^\p{IsHan}$")), t), "word.latin": (n(F.col("form").rlike(r"[\p{IsLatin}&&\p{L}]")), t), "word.decimal_digit": (n(F.col("form").rlike(r"\p{Nd}")), t),
-        **{f"cue.{k}": (n(F.col("form").isin(*forms) & F.col("upos").isin(*pos)), t) for k, (pos, forms) in CUES.items()},
-    }
-    flat = both.groupBy(*by).agg(*(a.alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
-    named = {k: (F.col(f"a{i}"), F.col(f"b{i}")) for i, k in enumerate(sums)}
-    return flat.select(*by, F.explode(F.array(*_ratios(named))).alias("x")).select(*by, "x.*")
+    All are counted in one pass over whole documents. With ``together`` the rows of a document already follow each other
+    within one partition, and tokens are not shuffled; else they are shuffled once, by document.
+    """
+    tokens = tokens.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("comp", "sent", "id", "head")), "form", "upos", "deprel")
+    if not together:
+        tokens = tokens.repartition("doc_id").sortWithinPartitions("doc_id", "comp", "sent", "id")
+    run = measurer(character_classes(tokens.sparkSession), names, by, k, (POS, RELATIONS, CUES))
+    kind = {"doc_id": tokens.schema["doc_id"].dataType.simpleString(), "sent": "long"}
+    return tokens.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in by) + ", n array<double>, d array<double>")
 
 
-def dependencies(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
-    """Geometry and configuration channels: ``(*by, channel, numerator, denominator)``.
+def measured(tokens: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = _DOCUMENT, together: bool = False, k: int = 100) -> DataFrame:
+    """The channels of ``names``: ``(*by, channel, numerator, denominator)``; no row where the channel has no opportunity.
 
     Counts per sentence are over all sentences, also those of punctuation only. The denominator of a median is the number of its
-    sentences, and its numerator the median times that.
-    """
-    words = lexical(tokens).withColumn("rel", F.element_at(F.split("deprel", ":"), 1)).withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "sent")))
-    heads = words.select("doc_id", "sent", F.col("id").alias("head"), F.col("rank").alias("head_rank"))
-    subjects = tokens.withColumn("rel", F.element_at(F.split("deprel", ":"), 1)).where("rel in ('nsubj', 'csubj')").select("doc_id", "sent", F.col("head").alias("id"), F.lit(True).alias("has_subject")).distinct()
-    deep = depths(tokens)
-    full = words.join(heads, ["doc_id", "sent", "head"], "left").join(deep, ["doc_id", "sent", "id"], "left").join(subjects, ["doc_id", "sent", "id"], "left")
-    arc, span = F.col("head_rank").isNotNull() & (F.col("rel") != "punct"), F.abs(F.col("rank") - F.col("head_rank"))
-
-    def n(c: Column) -> Column:
-        return F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-
-    root = F.col("head") == 0
-    predicate = F.col("upos").isin("VERB", "ADJ", "AUX") & (root | F.col("rel").isin("ccomp", "xcomp", "advcl", "acl", "conj", "parataxis"))
-    noun, modifier = F.col("upos").isin("NOUN", "PROPN"), arc & F.col("rel").isin("amod", "nmod", "acl", "advmod")
-    verb_root = root & (F.col("upos") == "VERB")
-    sums = {
-        "dependency.span_mean": (F.sum(F.when(arc, span)), n(arc)), "dependency.span_normalized": (F.sum(F.when(arc, span / F.greatest(F.col("size") - 1, F.lit(1)))), n(arc)), "dependency.depth_mean": (F.sum("depth"), F.count("*")),
-        "syntax.predicate_heads": (n(predicate), F.lit(0)), "syntax.subordinate_arcs": (F.lit(100) * n(arc & F.col("rel").isin("ccomp", "xcomp", "advcl", "acl")), F.lit(0)),
-        "syntax.predicate_conj_share": (n(predicate & (F.col("rel") == "conj")), n(predicate)), "syntax.nominal_modifier_size": (F.sum(F.when(noun, F.col("below"))), n(noun)),
-        "syntax.verb_root_without_subject": (n(verb_root & F.col("has_subject").isNull()), n(verb_root)), "syntax.preposed_modifiers": (n(modifier & (F.col("rank") < F.col("head_rank"))), n(modifier)),
-    }
-    flat = full.groupBy(*by).agg(*(F.coalesce(a, F.lit(0)).alias(f"a{i}") for i, (a, _) in enumerate(sums.values())), *(b.alias(f"b{i}") for i, (_, b) in enumerate(sums.values())))
-    flat = tokens.groupBy(*by).agg(F.countDistinct("sent").alias("sents")).join(flat, list(by), "left").na.fill(0)
-    named = {k: (F.col(f"a{i}"), F.col("sents") if k in _PER_SENTENCE else F.col(f"b{i}")) for i, k in enumerate(sums)}
-    most = full.groupBy(*by, "sent" if "sent" not in by else "comp").agg(F.max("depth").alias("m")).groupBy(*by).agg(F.median("m").alias("median"), F.count("m").cast("double").alias("denominator"))
-    rows = flat.select(*by, F.explode(F.array(*_ratios(named))).alias("x")).select(*by, "x.*")
-    return rows.unionByName(most.select(*by, F.lit("dependency.maxdepth_median").alias("channel"), (F.col("median") * F.col("denominator")).alias("numerator"), "denominator"))
-
-
-_PER_SENTENCE = ("syntax.predicate_heads", "syntax.subordinate_arcs")
-
-
-def reuse(tokens: DataFrame, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
-    """Overlap of neighbours and reuse of trigrams and of sentence starts: ``(*by, channel, numerator, denominator)``.
-
-    Only sentences of one component are compared; "earlier" means an earlier sentence of it.
+    sentences, and its numerator the median times that. Only sentences of one component are compared; "earlier" means an earlier sentence of it.
     """
-    words = lexical(tokens)
-    spot = Window.partitionBy("doc_id", "sent").orderBy("id")
-    tri = words.select("doc_id", "comp", "sent", "form", F.lead("form", 1).over(spot).alias("f2"), F.lead("form", 2).over(spot).alias("f3")).where("f3 is not null")
-    first = F.min("sent").over(Window.partitionBy("doc_id", "comp", "form", "f2", "f3"))
-    trigrams = tri.select("doc_id", "sent", (first < F.col("sent")).alias("hit")).groupBy(*by).agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
-
-    starts = words.where("rank <= 3").groupBy("doc_id", "comp", "sent").agg(F.sort_array(F.collect_list(F.struct("rank", "upos"))).alias("s")).where("size(s) = 3").withColumn("s", F.concat_ws(" ", "s.upos"))
-    order = Window.partitionBy("doc_id", "comp").orderBy("sent")
-    marked = starts.select("doc_id", "sent", F.row_number().over(order).alias("k"), (F.min("sent").over(Window.partitionBy("doc_id", "comp", "s")) < F.col("sent")).alias("hit")).where("k > 1")
-    initial = marked.groupBy(*by).agg(F.sum(F.col("hit").cast("double")).alias("numerator"), F.count("*").cast("double").alias("denominator"))
-
-    content = F.col("upos").isin("NOUN", "PROPN", "VERB", "ADJ") & ~F.col("form").rlike(r"^[\p{P}\s]*$")
-    sets = tokens.groupBy("doc_id", "comp", "sent").agg(F.collect_set(F.when(content, F.col("form"))).alias("k"))
-    near = sets.select("doc_id", "sent", "k", F.lag("k").over(order).alias("l"), F.lag("sent").over(order).alias("before")).where("before = sent - 1 and size(array_union(k, l)) > 0")
-    overlap = near.groupBy(*by).agg(F.sum(F.size(F.array_intersect("k", "l")) / F.size(F.array_union("k", "l"))).alias("numerator"), F.count("*").cast("double").alias("denominator"))
-    parts = (("lexical.trigram_reuse", trigrams), ("syntax.initial_pos_reuse", initial), ("lexical.content_overlap", overlap))
-    out = None
-    for name, df in parts:
-        row = df.select(*by, F.lit(name).alias("channel"), "numerator", "denominator")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def windowed(tokens: DataFrame, k: int = 100, by: tuple[str, ...] = _DOCUMENT) -> DataFrame:
-    """Type share and entropies over all windows of ``k`` tokens of a component, with counts kept as the window slides."""
-    rows = lexical(tokens).groupBy("doc_id", "comp").agg(F.min("sent").alias("sent"), F.sort_array(F.collect_list(F.struct("sent", "id", "form", "upos"))).alias("rows"))
-
-    def entropy(values: list, width: int) -> float:
-        counts: dict = {}
-        part, total = 0.0, 0.0
-        bits = [0.0, *(i * math.log2(i) for i in range(1, width + 1))]
-        for i, v in enumerate(values):
-            c = counts.get(v, 0)
-            part += bits[c + 1] - bits[c]
-            counts[v] = c + 1
-            if i >= width:
-                gone = values[i - width]
-                c = counts[gone]
-                part += bits[c - 1] - bits[c]
-                counts[gone] = c - 1
-            if i >= width - 1:
-                total += math.log2(width) - part / width
-        return total
-
-    def distinct(values: list, width: int) -> float:
-        last: dict = {}
-        total = 0
-        for i, v in enumerate(values):
-            total += max(0, min(i, len(values) - width) - max(i - width + 1, last.get(v, -1) + 1, 0) + 1)
-            last[v] = i
-        return total / width
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, sent, items in zip(frame["doc_id"], frame["sent"], frame["rows"]):
-                forms, tags = [x["form"] for x in items], [x["upos"] for x in items]
-                n = len(forms) - k + 1
-                if n > 0:
-                    out += [
-                        (doc, sent, "lexical.mattr100", distinct(forms, k), float(n)), (doc, sent, "lexical.entropy100", entropy(forms, k) / math.log2(k), float(n)),
-                        (doc, sent, "upos.bigram_entropy100", entropy(list(zip(tags, tags[1:])), k - 1) / math.log2(289), float(n)),
-                    ]
-            yield pd.DataFrame(out, columns=["doc_id", "sent", "channel", "numerator", "denominator"])
-
-    return rows.mapInPandas(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, sent long, channel string, numerator double, denominator double").groupBy(*by, "channel").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
-
-
-def channels(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(doc_id, channel, value, numerator, denominator, missing)``: all channels of every document.
+    rows = _sums(tokens, names, by, together, k).select(*by, "n", "d", F.posexplode(F.array(*map(F.lit, names))).alias("i", "channel"))
+    return rows.select(*by, "channel", F.get("n", "i").alias("numerator"), F.get("d", "i").alias("denominator")).where("denominator is not null")
+
+
+#: What words are (classes, relations, shapes, cues); how they hang together; what neighbours and earlier sentences share; windows.
+SHARES = tuple(c for c in CHANNELS if c.startswith(("deprel.", "word", "cue.")) or c.startswith("upos.") and c not in _REUSE)
+DEPENDENCIES = (*_GEOMETRY, *_SYNTAX)
+REUSES = ("lexical.trigram_reuse", "syntax.initial_pos_reuse", "lexical.content_overlap")
+WINDOWED = ("lexical.mattr100", "lexical.entropy100", "upos.bigram_entropy100")
+
+
+def channels(sentences: DataFrame, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
+    """``(doc_id, channel, value, numerator, denominator, missing)``: the channels of every document (see :func:`measured`).
 
     A sentence that the targets clip nulls all values of its document ("ineligible_structure"; ``sentences`` may have a
     boolean ``clipped``), a failed one too; one with classes only nulls the dependency channels; without opportunity a value is null, never zero.
     """
     clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in sentences.columns else F.lit(False)
     state = sentences.groupBy("doc_id").agg(F.max(clipped.cast("int")).alias("clipped"), F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"))
-    grid = state.select("*", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
-    found = shares(tokens).unionByName(dependencies(tokens)).unionByName(reuse(tokens)).unionByName(windowed(tokens))
-    return _valued(grid.join(found, ["doc_id", "channel"], "left"), _DOCUMENT)
+    return _valued(_gridded(state, _sums(tokens, names, _DOCUMENT, together), names, _DOCUMENT), _DOCUMENT)
+
+
+def _gridded(state: DataFrame, sums: DataFrame, names: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """A row for each row of ``state`` and channel. The arrays are joined, not their entries, so that a document or sentence is one row of the join."""
+    rows = state.join(sums, list(by), "left").select("*", F.posexplode(F.array(*map(F.lit, names))).alias("i", "channel"))
+    return rows.withColumns({"numerator": F.get("n", "i"), "denominator": F.get("d", "i")})
 
 
 def _valued(rows: DataFrame, by: tuple[str, ...], history: Column | None = None) -> DataFrame:
@@ -258,7 +111,7 @@ def _valued(rows: DataFrame, by: tuple[str, ...], history: Column | None = None)
     return rows.select(*by, "channel", F.round(value, 9).alias("value"), "numerator", "denominator", missing.alias("missing"))
 
 
-def sequences(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
+def sequences(sentences: DataFrame, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
     """``(doc_id, sent, channel, value, numerator, denominator, missing)``: the channels of every sentence by itself.
 
     Reuse looks back at earlier sentences of the component; where one of those failed (for the overlap, the one before), it is "history_failed".
@@ -270,10 +123,7 @@ def sequences(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
     last = Window.partitionBy("doc_id", "comp").orderBy("sent")
     before = F.when(F.lag("sent").over(last) == F.col("sent") - 1, F.lag(failed).over(last))
     state = sentences.select(*by, F.lit(0).alias("clipped"), failed.alias("failed"), (F.col("status") == "pos_only").cast("int").alias("pos_only"), F.coalesce(F.max(failed).over(earlier), F.lit(0)).alias("history"), F.coalesce(before, F.lit(0)).alias("before"))
-    grid = state.select("*", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
-    single = windowed(tokens.withColumn("comp", F.col("sent")), by=by)
-    found = shares(tokens, by).unionByName(dependencies(tokens, by)).unionByName(reuse(tokens, by)).unionByName(single)
-    return _valued(grid.join(found, [*by, "channel"], "left"), by, F.when(F.col("channel") == "lexical.content_overlap", F.col("before")).otherwise(F.col("history")))
+    return _valued(_gridded(state, _sums(tokens, names, by, together), names, by), by, F.when(F.col("channel") == "lexical.content_overlap", F.col("before")).otherwise(F.col("history")))
 
 
 def vectors(rows: DataFrame) -> DataFrame:
