@@ -23,7 +23,7 @@ def exchanges(df):
     return len(re.findall(r"^[\s:+-]*(?:\* ?\(\d+\) )?Exchange ", df._jdf.queryExecution().executedPlan().toString(), re.M))
 
 
-@pytest.mark.parametrize(("name", "rows"), [("channel_vectors", 3), ("sentence_sequences", 3 * (2 + 13 + 24)), ("linguistic_channels", 213), ("predicate_shares", 6)])
+@pytest.mark.parametrize(("name", "rows"), [("channel_vectors", 3), ("sentence_sequences", 3 * (2 + 13 + 24)), ("linguistic_channels", 213), ("predicate_shares", 6), ("channel_states", 6)])
 def test_texts_shuffle_once_and_tokens_never(spark, folder, name, rows):
     df = registry.queries()[name](spark, folder)
     assert exchanges(df) <= 5, df._jdf.queryExecution().executedPlan().toString()
