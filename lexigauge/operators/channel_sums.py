@@ -17,6 +17,8 @@ CHUNK = 200_000
 #: Bits of a character's class.
 BLANK, HAN, LATIN, DIGIT = 1, 2, 4, 8
 _PATTERNS = {BLANK: r"[\p{P}\s]", HAN: r"\p{IsHan}", LATIN: r"[\p{IsLatin}&&\p{L}]", DIGIT: r"\p{Nd}"}
+#: Bits of the state of a document or sentence.
+CLIPPED, FAILED, POS_ONLY, HISTORY, BEFORE = 1, 2, 4, 8, 16
 _known: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -114,6 +116,7 @@ class Chunk:
         self.seg, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
         self.part = np.cumsum(_starts(self.doc, self.comp)) - 1
         self.lexical = np.flatnonzero((self.upos >= 0) & (_of(self.tags, ("PUNCT",))[self.upos] == 1) & ~self.blank[self.form])
+        self.flags = number("flags")[order] if "flags" in column else None
         # Groups: documents or sentences.
         self.group = self.seg if by_sentence else self.doc
         self.groups = int(self.group[-1]) + 1
@@ -166,6 +169,18 @@ class Chunk:
         at = np.searchsorted(keys, wanted)
         return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, -1)
 
+    def states(self) -> np.ndarray:
+        """The flags of each group; of a sentence also whether an earlier one of its component failed, and whether the one just before did."""
+        own = np.bitwise_or.reduceat(self.flags, np.flatnonzero(_starts(self.group)))
+        if not self.by_sentence:
+            return own
+        part, sent, failed = self.part[self.first], self.sent[self.first], own & FAILED > 0
+        earlier = np.cumsum(failed) - failed
+        history = earlier > earlier[np.flatnonzero(_starts(part))][part]
+        before = np.zeros(len(own), bool)
+        before[1:] = failed[:-1] & (part[1:] == part[:-1]) & (sent[1:] == sent[:-1] + 1)
+        return own | HISTORY * history | BEFORE * before
+
     def n(self, where: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """Rows, or the sum of their weights, by group."""
         return np.bincount(self.own[where], None if weights is None else weights[where], self.groups).astype(float)
@@ -363,7 +378,7 @@ def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def measurer(classes: tuple[np.ndarray, np.ndarray], names: tuple[str, ...], by: tuple[str, ...], k: int, fixed: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function for ``mapInArrow``: ``by`` and the arrays of numerators and denominators of ``names``; null where a channel has no row."""
+    """The function for ``mapInArrow``: ``by`` and the arrays of numerators and denominators of ``names``; null where a channel has no row. States follow where tokens have flags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, bits = classes
@@ -380,6 +395,7 @@ def measurer(classes: tuple[np.ndarray, np.ndarray], names: tuple[str, ...], by:
                 flat = np.stack([made[x][side] for x in names], axis=1)
                 lists.append(pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(names), dtype=np.int32), pa.array(flat.ravel(), from_pandas=True)))
             own = rows.select(list(by)).take(pa.array(chunk.leaders)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(own.column(c).chunk(0) for c in by), *lists], [*by, "n", "d"])
+            states = {} if chunk.flags is None else {"flags": pa.array(chunk.states())}
+            yield pa.RecordBatch.from_arrays([*(own.column(c).chunk(0) for c in by), *lists, *states.values()], [*by, "n", "d", *states])
 
     return run

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .channel_sums import character_classes, measurer
+from .channel_sums import BEFORE, CLIPPED, FAILED, HISTORY, POS_ONLY, character_classes, measurer
 
 # The classes, relations and cue forms that are counted.
 POS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "NOUN", "NUM", "PART", "PRON", "PROPN", "SCONJ", "VERB")
@@ -53,18 +53,33 @@ def family(channel: str) -> str:
 _DOCUMENT = ("doc_id",)
 
 
-def _sums(tokens: DataFrame, names: tuple[str, ...], by: tuple[str, ...], together: bool, k: int = 100) -> DataFrame:
+def _sums(tokens: DataFrame, names: tuple[str, ...], by: tuple[str, ...], together: bool, k: int = 100, stated: bool = False) -> DataFrame:
     """``(*by, n, d)``: arrays of the numerators and denominators of ``names``; null where a channel has no opportunity.
 
     All are counted in one pass over whole documents. With ``together`` the rows of a document already follow each other
-    within one partition, and tokens are not shuffled; else they are shuffled once, by document.
+    within one partition, and tokens are not shuffled; else they are shuffled once, by document. With ``stated`` the tokens carry
+    the ``status`` of their sentence (and may carry ``clipped``), and ``flags`` has the states of the document or sentence.
     """
-    tokens = tokens.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("comp", "sent", "id", "head")), "form", "upos", "deprel")
+    flags = [_flags(tokens).alias("flags")] if stated else []
+    tokens = tokens.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("comp", "sent", "id", "head")), "form", "upos", "deprel", *flags)
     if not together:
         tokens = tokens.repartition("doc_id").sortWithinPartitions("doc_id", "comp", "sent", "id")
     run = measurer(character_classes(tokens.sparkSession), names, by, k, (POS, RELATIONS, CUES))
     kind = {"doc_id": tokens.schema["doc_id"].dataType.simpleString(), "sent": "long"}
-    return tokens.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in by) + ", n array<double>, d array<double>")
+    return tokens.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in by) + ", n array<double>, d array<double>" + ", flags long" * stated)
+
+
+def _flags(rows: DataFrame) -> Column:
+    bit = lambda where, flag: F.when(where, flag).otherwise(0)
+    clipped = F.col("clipped") if "clipped" in rows.columns else F.lit(False)
+    return (bit(clipped, CLIPPED) + bit(F.col("status") == "failed", FAILED) + bit(F.col("status") == "pos_only", POS_ONLY)).cast("byte")
+
+
+def _stated(sums: DataFrame) -> DataFrame:
+    """The states in columns of their own; a null id joins no tokens."""
+    flag = {"clipped": CLIPPED, "failed": FAILED, "pos_only": POS_ONLY, "history": HISTORY, "before": BEFORE}
+    known = {c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("n", "d")}
+    return sums.withColumns(known | {c: F.col("flags").bitwiseAND(F.lit(x)).cast("boolean").cast("int") for c, x in flag.items()})
 
 
 def measured(tokens: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = _DOCUMENT, together: bool = False, k: int = 100) -> DataFrame:
@@ -92,12 +107,12 @@ def channels(sentences: DataFrame, tokens: DataFrame, names: tuple[str, ...] = C
     """
     clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in sentences.columns else F.lit(False)
     state = sentences.groupBy("doc_id").agg(F.max(clipped.cast("int")).alias("clipped"), F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"))
-    return _valued(_gridded(state, _sums(tokens, names, _DOCUMENT, together), names, _DOCUMENT), _DOCUMENT)
+    return _valued(_gridded(state.join(_sums(tokens, names, _DOCUMENT, together), list(_DOCUMENT), "left"), names), _DOCUMENT)
 
 
-def _gridded(state: DataFrame, sums: DataFrame, names: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
-    """A row for each row of ``state`` and channel. The arrays are joined, not their entries, so that a document or sentence is one row of the join."""
-    rows = state.join(sums, list(by), "left").select("*", F.posexplode(F.array(*map(F.lit, names))).alias("i", "channel"))
+def _gridded(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """A row for each row and channel. Arrays are joined with the states before, not their entries, so that a document or sentence is one row of the join."""
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, names))).alias("i", "channel"))
     return rows.withColumns({"numerator": F.get("n", "i"), "denominator": F.get("d", "i")})
 
 
@@ -111,19 +126,24 @@ def _valued(rows: DataFrame, by: tuple[str, ...], history: Column | None = None)
     return rows.select(*by, "channel", F.round(value, 9).alias("value"), "numerator", "denominator", missing.alias("missing"))
 
 
-def sequences(sentences: DataFrame, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
+def sequences(sentences: DataFrame | None, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
     """``(doc_id, sent, channel, value, numerator, denominator, missing)``: the channels of every sentence by itself.
 
     Reuse looks back at earlier sentences of the component; where one of those failed (for the overlap, the one before), it is "history_failed".
-    A failed sentence nulls its own values only.
+    A failed sentence nulls its own values only. Without ``sentences`` the tokens carry the ``status`` of their sentence, every sentence
+    has tokens, and nothing is joined.
     """
     by = ("doc_id", "sent")
+    history = F.when(F.col("channel") == "lexical.content_overlap", F.col("before")).otherwise(F.col("history"))
+    if sentences is None:
+        rows = _stated(_sums(tokens, names, by, together, stated=True)).withColumn("clipped", F.lit(0))
+        return _valued(_gridded(rows, names), by, history)
     earlier = Window.partitionBy("doc_id", "comp").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
     failed = (F.col("status") == "failed").cast("int")
     last = Window.partitionBy("doc_id", "comp").orderBy("sent")
     before = F.when(F.lag("sent").over(last) == F.col("sent") - 1, F.lag(failed).over(last))
     state = sentences.select(*by, F.lit(0).alias("clipped"), failed.alias("failed"), (F.col("status") == "pos_only").cast("int").alias("pos_only"), F.coalesce(F.max(failed).over(earlier), F.lit(0)).alias("history"), F.coalesce(before, F.lit(0)).alias("before"))
-    return _valued(_gridded(state, _sums(tokens, names, by, together), names, by), by, F.when(F.col("channel") == "lexical.content_overlap", F.col("before")).otherwise(F.col("history")))
+    return _valued(_gridded(state.join(_sums(tokens, names, by, together), list(by), "left"), names), by, history)
 
 
 def vectors(rows: DataFrame) -> DataFrame:
