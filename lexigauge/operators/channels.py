@@ -99,12 +99,15 @@ REUSES = ("lexical.trigram_reuse", "syntax.initial_pos_reuse", "lexical.content_
 WINDOWED = ("lexical.mattr100", "lexical.entropy100", "upos.bigram_entropy100")
 
 
-def channels(sentences: DataFrame, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
+def channels(sentences: DataFrame | None, tokens: DataFrame, names: tuple[str, ...] = CHANNELS, together: bool = False) -> DataFrame:
     """``(doc_id, channel, value, numerator, denominator, missing)``: the channels of every document (see :func:`measured`).
 
     A sentence that the targets clip nulls all values of its document ("ineligible_structure"; ``sentences`` may have a
     boolean ``clipped``), a failed one too; one with classes only nulls the dependency channels; without opportunity a value is null, never zero.
+    Without ``sentences`` the tokens carry the ``status`` of their sentence, and maybe ``clipped``, every sentence has tokens, and nothing is joined.
     """
+    if sentences is None:
+        return _valued(_gridded(_stated(_sums(tokens, names, _DOCUMENT, together, stated=True)), names), _DOCUMENT)
     clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in sentences.columns else F.lit(False)
     state = sentences.groupBy("doc_id").agg(F.max(clipped.cast("int")).alias("clipped"), F.max((F.col("status") == "failed").cast("int")).alias("failed"), F.max((F.col("status") == "pos_only").cast("int")).alias("pos_only"))
     return _valued(_gridded(state.join(_sums(tokens, names, _DOCUMENT, together), list(_DOCUMENT), "left"), names), _DOCUMENT)

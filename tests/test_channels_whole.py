@@ -52,7 +52,7 @@ def single(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["sentence_sequences"])
+@pytest.mark.parametrize("name", ["sentence_sequences", "linguistic_channels"])
 def test_texts_of_single_ids_do_not_shuffle(spark, single, name):
     df = registry.queries()[name](spark, single)
     assert exchanges(df) == 0, df._jdf.queryExecution().executedPlan().toString()
@@ -65,7 +65,7 @@ def test_states_of_the_tokens_are_those_of_their_sentences(spark, tmp_path, monk
     spark.createDataFrame([(x, f"{i} Sätze " + f"noun {i} 的 over and over " * (i % 4 * 30)) for i, x in enumerate(ids)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     tokens, sentences = plan._together(spark, str(tmp_path)), plan._sentences(spark, str(tmp_path))
     names = ("upos.NOUN", "dependency.span_mean", "lexical.content_overlap", "lexical.trigram_reuse")
-    for measure in (channels.sequences,):
+    for measure in (channels.sequences, channels.channels):
         got, want = measure(None, plan._with_state(tokens), names, together=True), measure(sentences, tokens, names)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert {r.missing for r in got.select("missing").distinct().collect()} >= {None, "parse_failed", "pos_only", "zero_denominator"}
