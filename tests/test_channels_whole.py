@@ -52,7 +52,7 @@ def single(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["sentence_sequences", "linguistic_channels", "channel_states"])
+@pytest.mark.parametrize("name", ["sentence_sequences", "linguistic_channels", "channel_states", "predicate_shares"])
 def test_texts_of_single_ids_do_not_shuffle(spark, single, name):
     df = registry.queries()[name](spark, single)
     assert exchanges(df) == 0, df._jdf.queryExecution().executedPlan().toString()
